@@ -2,7 +2,8 @@
 
 Two hashed n-gram models are estimated: one from a target (texts labelled good, at most TARGET_DOCS of them, chosen by a
 hash), one from all raw texts. A text's log importance weight is the sum of the log ratios of its words, punctuation runs and
-pairs of them, hashed to BUCKETS; a token that repeats its predecessor counts as one repeat marker. Adding Gumbel noise of
+pairs of them, hashed to BUCKETS; a token that repeats its predecessor counts as one repeat marker. A text of more than
+STRETCH n-grams has the mean weight of a stretch of that length, so that a small bias for each word does not grow with length. Adding Gumbel noise of
 scale TEMPERATURE and taking the k largest draws k texts without replacement in proportion to weight ** (1 / TEMPERATURE).
 By default k is the number of texts whose weight is at least exp(-MARGIN), those the target explains about as well as the
 raw text or better.
@@ -30,8 +31,9 @@ from ruletide.session import ensure_checkpoint_dir
 BUCKETS = 1 << 14
 TARGET_DOCS = 4000
 TEMPERATURE = 0.1
-MARGIN = 1.0
-SMOOTHING = 1.0
+MARGIN = 8.0
+PRIOR = 128.0
+STRETCH = 200
 _U = np.uint64
 
 
@@ -82,10 +84,9 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(buckets)
-    # the smaller model is smoothed towards the larger one, so that a bucket it has not seen is unlikely but not impossible
-    p_raw = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * buckets)
-    p_target = (target + SMOOTHING * p_raw * buckets * 0.1) / (target.sum() + SMOOTHING * buckets * 0.1)
-    return np.log(p_target) - np.log(p_raw)
+    # a prior of PRIOR expected counts on both models: a bucket weighs in as far as its counts carry evidence
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def _sortable(x: np.ndarray) -> np.ndarray:
@@ -103,7 +104,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
         for whole in batches:
             for batch in tk.slices(whole, text_col, 2 << 20):
                 doc, b = features(batch.column(names.index(text_col)), len(ratio))
-                weight = np.bincount(doc, ratio[b], minlength=len(batch))
+                n = np.bincount(doc, minlength=len(batch))
+                weight = np.bincount(doc, ratio[b], minlength=len(batch)) / np.maximum(1, n / STRETCH)
                 u = ((batch.column(len(names)).to_numpy(zero_copy_only=False).view(_U) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
                 score = weight - temperature * np.log(-np.log(u))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight), pa.array(score), pa.array(_sortable(score))], [*names, "__weight", "__score", "__key"])

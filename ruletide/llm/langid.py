@@ -27,9 +27,9 @@ from ruletide.llm import textkit as tk
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-DOCS = 1600
+DOCS = 3200
 PER_DOC = 2
-EPOCHS = 8
+EPOCHS = 6
 FOLDS = 5
 BATCH = 1024
 
@@ -52,7 +52,7 @@ class ByteNet:
         n = FILTERS * len(WIDTHS)
         self.p |= {"d": rng.normal(0, 0.3, (n, len(langs))).astype(np.float32), "e": np.zeros(len(langs), np.float32)}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 7) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 7) -> None:
         """Adam on the cross entropy; only the winning position of a filter receives a gradient."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
