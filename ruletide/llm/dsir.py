@@ -96,25 +96,28 @@ def _sortable(x: np.ndarray) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
-    """docs with __weight (log importance weight), __score (with Gumbel noise) and __key (the score as a sortable long)."""
+    """(row, weight, score, key) of every row of docs: the row as a struct, its log importance weight, the weight with Gumbel
+    noise, and that as a sortable long."""
     tk.keep_batches_small(docs.sparkSession)
-    names = docs.columns
+    at = docs.columns.index(text_col)
 
     def of(batches):
         for whole in batches:
-            for batch in tk.slices(whole, text_col, 2 << 20):
-                doc, b = features(batch.column(names.index(text_col)), len(ratio))
+            flat = pa.RecordBatch.from_arrays([whole.column(0).field(at), whole.column(0), whole.column(1)], ["text", "row", "h"])
+            for batch in tk.slices(flat, "text", 2 << 20):
+                doc, b = features(batch.column(0), len(ratio))
                 n = np.bincount(doc, minlength=len(batch))
                 weight = np.bincount(doc, ratio[b], minlength=len(batch)) / np.maximum(1, n / STRETCH)
-                u = ((batch.column(len(names)).to_numpy(zero_copy_only=False).view(_U) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
+                u = ((batch.column(2).to_numpy(zero_copy_only=False).view(_U) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
                 score = weight - temperature * np.log(-np.log(u))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight), pa.array(score), pa.array(_sortable(score))], [*names, "__weight", "__score", "__key"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weight), pa.array(score), pa.array(_sortable(score))], ["row", "weight", "score", "key"])
 
-    schema = StructType([*docs.schema.fields, StructField("__weight", DoubleType()), StructField("__score", DoubleType()), StructField("__key", LongType())])
-    return docs.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).mapInArrow(of, schema)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
+    schema = StructType([rows.schema["row"], StructField("weight", DoubleType()), StructField("score", DoubleType()), StructField("key", LongType())])
+    return rows.mapInArrow(of, schema)
 
 
-def kth_largest(rows: DataFrame, k: int, key: str = "__key") -> int | None:
+def kth_largest(rows: DataFrame, k: int, key: str = "key") -> int | None:
     """The k-th largest long of a column, by four rounds of counts of 16 more bits each."""
     if k <= 0:
         return None
@@ -133,17 +136,17 @@ def kth_largest(rows: DataFrame, k: int, key: str = "__key") -> int | None:
 
 def threshold(rows: DataFrame, k: int | None = None, margin: float = MARGIN) -> int | None:
     """The least sort key among the k drawn of weighed rows; None draws nothing."""
-    return kth_largest(rows, rows.where(F.col("__weight") >= -margin).count() if k is None else k, "__key")
+    return kth_largest(rows, rows.where(F.col("weight") >= -margin).count() if k is None else k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, margin: float = MARGIN) -> DataFrame:
     """(id, log_weight, score, kept) of every row of docs."""
     ensure_checkpoint_dir(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = weigh(thin, model(thin, labels, "id"), "id", "text", temperature).drop("text").checkpoint()
+    rows = weigh(thin, model(thin, labels, "id"), "id", "text", temperature).select("row.id", "weight", "score", "key").checkpoint()
     least = threshold(rows, k, margin)
-    kept = F.lit(False) if least is None else F.col("__key") >= F.lit(least)
-    return rows.select("id", F.col("__weight").alias("log_weight"), F.col("__score").alias("score"), kept.alias("kept"))
+    kept = F.lit(False) if least is None else F.col("key") >= F.lit(least)
+    return rows.select("id", F.col("weight").alias("log_weight"), "score", kept.alias("kept"))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, margin: float = MARGIN) -> DataFrame:
@@ -151,6 +154,6 @@ def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ensure_checkpoint_dir(docs.sparkSession)
     ratio = model(docs, labels, id_col, text_col)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    least = threshold(weigh(thin, ratio, "id", "text", temperature).drop("text").checkpoint(), k, margin)
+    least = threshold(weigh(thin, ratio, "id", "text", temperature).select("weight", "key").checkpoint(), k, margin)
     rows = weigh(docs, ratio, id_col, text_col, temperature)
-    return rows.where(F.lit(False) if least is None else F.col("__key") >= F.lit(least)).select(*docs.columns)
+    return rows.where(F.lit(False) if least is None else F.col("key") >= F.lit(least)).select("row.*")

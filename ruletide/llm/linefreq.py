@@ -52,12 +52,15 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     ensure_checkpoint_dir(pages.sparkSession)
     found = boilerplate(pages, host_col, text_col, ratio, min_pages).checkpoint()
     few = found.count() <= broadcast_lines
-    by_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list(F.struct("x", "y")).alias("__marks"))
+    by_host = found.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("x", "y")).alias("marks"))
     rows = pages.drop("n_lines", "n_dropped")
-    joined = rows.join(F.broadcast(by_host) if few else by_host, rows[host_col].eqNullSafe(by_host["__host"]), "left")
-    lines = _lines(F.col(text_col))
-    kept = F.when(F.col("__marks").isNull(), lines).otherwise(F.filter(lines, lambda l: ~(_solid(l) & F.array_contains(F.col("__marks"), _mark(l)))))
-    cut = joined.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(F.filter(lines, _solid)), F.lit(0))).withColumn("__left", F.coalesce(F.size(F.filter("__kept", _solid)), F.lit(0)))
-    whole = F.col("__left") == 0
-    out = cut.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
-    return out.withColumn("n_dropped", F.when(whole, 0).otherwise(F.col("n_lines") - F.col("__left"))).select(*rows.columns, "n_lines", "n_dropped")
+    rows = rows.select(F.struct(*rows.columns).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    lines, marks = _lines(F.col("text")), F.col("marks")
+    joined = rows.join(F.broadcast(by_host) if few else by_host, rows["host"].eqNullSafe(by_host["of"]), "left")
+    kept = F.when(marks.isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_solid(x) & F.array_contains(marks, _mark(x)))))
+    count = lambda x: F.coalesce(F.size(F.filter(x, _solid)), F.lit(0))
+    cut = joined.select("row", "text", kept.alias("kept"), count(lines).alias("n_lines")).withColumn("n_left", count(F.col("kept")))
+    whole = F.col("n_left") == 0
+    text = F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n"))
+    out = cut.select(F.col("row").withField(f"`{text_col}`", text).alias("row"), "n_lines", F.when(whole, 0).otherwise(F.col("n_lines") - F.col("n_left")).alias("n_dropped"))
+    return out.select("row.*", "n_lines", "n_dropped")
