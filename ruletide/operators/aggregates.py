@@ -10,6 +10,8 @@ def aggregate_sql(func: str, args: list[str], level: float | None = None) -> str
     x = args[0] if args else "1"
     two = f"{args[0]}, {args[1]}" if len(args) > 1 else ""
     pair = f"{args[0]} IS NOT NULL AND {args[1]} IS NOT NULL" if two else ""
+    # Spark's corr divides by zero on a constant series; here that is no value
+    both = [f"CASE WHEN {pair} THEN {a} END" for a in args] if two else ["", ""]
     return {
         "sum": f"sum({x})",
         "mean": f"avg({x})",
@@ -18,7 +20,7 @@ def aggregate_sql(func: str, args: list[str], level: float | None = None) -> str
         "quantile": f"percentile({x}, {level}D)",
         "max": f"max({x})",
         "min": f"min({x})",
-        "corr": f"corr({two})",
+        "corr": f"try_divide(covar_pop({two}), stddev_pop({both[0]}) * stddev_pop({both[1]}))",
         "cov": f"covar_samp({two})",
         "ols_beta": f"regr_slope({two})",
         "pairs": f"count(CASE WHEN {pair} THEN 1 END)",

@@ -6,6 +6,8 @@ counts), shuffled once by the group, and aggregated by frames in which only valu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def _cols(names: list[str]) -> str:
     return ", ".join(f"`{n}`" for n in names)
 
 
+def over(sql: str, frame: str) -> str:
+    """SQL of aggregates with a frame behind each of them."""
+    m = re.fullmatch(r"try_divide\((\w+\(.*?\)), (stddev_pop\(.*\)) \* (stddev_pop\(.*\))\)", sql)
+    return f"try_divide({m[1]} OVER {frame}, {m[2]} OVER {frame} * {m[3]} OVER {frame})" if m else f"{sql} OVER {frame}"
+
+
 def frame_aggregate(base: DataFrame, values: DataFrame, by: list[str], time: str, kind: str, length: Duration | int, aggregates: dict[str, str], least: int = 0, instant: str = "DAY", bars: DataFrame | None = None) -> DataFrame:
     """base with one column for each aggregate, over the frame that ends at its time.
 
@@ -51,7 +59,7 @@ def frame_aggregate(base: DataFrame, values: DataFrame, by: list[str], time: str
             order = "__t"
         frame = f"({part} ORDER BY {order} RANGE BETWEEN {length.sql()} PRECEDING AND CURRENT ROW)"
     n = f"count(__one) OVER {frame}"
-    found = rows.select(*rows.columns, F.expr(n).alias("__n"), *(F.expr(f"{sql} OVER {frame}").alias(a) for a, sql in aggregates.items()))
+    found = rows.select(*rows.columns, F.expr(n).alias("__n"), *(F.expr(over(sql, frame)).alias(a) for a, sql in aggregates.items()))
     found = found.where("__kind = 1").select(*keep, "__n", *aggregates)
     if least > 0:
         found = found.select(*keep, "__n", *(F.when(F.col("__n") >= least, F.col(a)).alias(a) for a in aggregates))

@@ -538,11 +538,10 @@ class Compiler:
             if at != group:  # the anchor says nothing of some group columns: every group has its bars
                 marks = marks.join(values.select(*group).distinct(), at or None)
             bars = marks.select(*group, scope.key).union(values.select(*group, scope.key))
-        named = {v: s if g is None else f"CASE WHEN {g} OVER __w >= 2 THEN {s} END" for (v, s), g in zip(sql.items(), guards, strict=True)}
         extra = {f"__g{i}": g for i, g in enumerate(guards) if g is not None}
-        plain = {v: s for v, s in sql.items()} | extra
+        plain = sql | extra
         out = frame_aggregate(scope.df, values, group, scope.key, frame.kind, length, plain, least, "DAY" if scope.res == "1d" else "SECOND", bars)
-        for i, (v, _) in enumerate(named.items()):
+        for i, v in enumerate(sql):
             lit = lits[i]
             if lit.func == "count":
                 out = out.where(F.col("__n") >= least)

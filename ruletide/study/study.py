@@ -261,8 +261,15 @@ def fingerprint(text: str | Program) -> str:
     return hashlib.sha256("\n".join(sorted(rule_texts(p))).encode()).hexdigest()[:16]
 
 
+def _plain(x) -> str:
+    """A syntax tree as text, without where it stood in the source."""
+    if hasattr(x, "__dataclass_fields__"):
+        return f"{type(x).__name__}({','.join(_plain(getattr(x, f)) for f in x.__dataclass_fields__ if f != 'at')})"
+    return f"[{','.join(map(_plain, x))}]" if isinstance(x, tuple) else repr(x)
+
+
 def rule_texts(p: Program) -> set[str]:
-    return {f"{r.head}:-{r.body}" for rel in p.relations.values() for r in rel.rules}
+    return {_plain(r) for rel in p.relations.values() for r in rel.rules}
 
 
 def similarity(a: Program, b: Program) -> float:
