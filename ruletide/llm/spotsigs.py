@@ -101,13 +101,10 @@ def _bucketed(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
         part = F.lit(0)
     least = sorted((r["part"], r["least"], r["nulls"]) for r in docs.select(part.alias("part"), "id").groupBy("part").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("nulls")).collect())
     placed = rows.select(part.alias("part"), F.lit(0).alias("role"), "id", "text")
-    closing = []
-    for k, (_, low, nulls) in enumerate(least):  # the first row of part k closes part k - 1; that of the first closes the last
-        before = least[k - 1][0]
-        first = F.col("id").isNull() if nulls else F.col("id") == F.lit(low)
-        closing.append(F.when(first, F.lit(before)))
-    ends = F.array_compact(F.array(*closing)) if closing else F.array().cast("array<int>")
-    copies = rows.select(F.explode(ends).alias("part"), F.lit(1).alias("role"), "id", "text")
+    # the first row of part k closes part k - 1, that of the first closes the last: one row for each part at most
+    edges = [(None if nulls else low, least[k - 1][0]) for k, (_, low, nulls) in enumerate(least)]
+    edges = docs.sparkSession.createDataFrame(edges, "first long, closes int")
+    copies = rows.join(F.broadcast(edges), F.col("id").eqNullSafe(F.col("first"))).select(F.col("closes").alias("part"), F.lit(1).alias("role"), "id", "text")
     return placed.union(copies), max(1, len(cuts) + 1)
 
 
