@@ -61,11 +61,11 @@ def _schedules(spark, blocks: list[int], a: list[int]) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_bytes: int = BLOCK_BYTES, frame: int = FRAME, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, source, size, block, slot, start) of every row; with carry, those columns of docs as one struct `__row`.
+    """(id, source, size, block, slot, start, slots) of every row; with carry, those columns of docs as one struct `__row`.
 
-    block: number of the block in its source; slot: its place in the schedule; start: bytes of the source before the row. The
-    mixed order is (slot, start). weights: by source; by default a source's bytes to the power ALPHA, which lets small
-    sources come earlier than their size would.
+    block: number of the block in its source; slot: its place in the schedule; start: bytes of the source before the row; slots:
+    the length of the schedule. The mixed order is (slot, start). weights: by source; by default a source's bytes to the power
+    ALPHA, which lets small sources come earlier than their size would.
     """
     spark, kept = docs.sparkSession, ["__row"] if carry else []
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     per = frame_blocks(totals, given, frame)
     a, blocks = [per[s] for s in names], [-(-totals[s] // block_bytes) for s in names]
     if not names:
-        return rows.select("id", "source", "size", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("start"), *kept)
+        return rows.select("id", "source", "size", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("slots"), *kept)
 
     first = Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.select(F.col("__s").alias("__os"), F.col("__c").alias("__oc"), F.coalesce(F.sum("bytes").over(first), F.lit(0)).alias("__offset"))
@@ -106,4 +106,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     small = (2 * len(names) + 1) * (frame + len(names)) <= BROADCAST_ROWS
     on = (F.col("__t") == F.col("__pt")) & (F.col("__i") == F.col("__pi")) & (F.col("__k") == F.col("__pk"))
     out = placed.join(F.broadcast(plan) if small else plan, on).withColumn("slot", before + F.col("place"))
-    return out.select("id", "source", "size", "block", "slot", "start", *kept)
+    return out.select("id", "source", "size", "block", "slot", "start", F.lit(sum(blocks)).cast("long").alias("slots"), *kept)
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """mixed in the order of its schedule: partitions are equal runs of slots, so no sample has to be drawn first."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.expr(f"slot * {n} div greatest(1L, slots)").cast("int")
+    return mixed.repartitionById(n, part).sortWithinPartitions("slot", "start")

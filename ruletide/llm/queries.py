@@ -31,7 +31,7 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("slots").withColumnRenamed("id", "doc_id")
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
