@@ -79,6 +79,26 @@ SELECT j.page_id, host, path, rule, coalesce(rv, CASE WHEN listed THEN 'block' E
 FROM j LEFT JOIN fit ON j.page_id = fit.page_id
 """
 
+#: The schedule frame by frame and slot by slot, as a recursion: earliest deadline first among the released.
+_OP4 = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, (coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
+s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+t AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+w AS (SELECT source, (total + 65535) // 65536 AS nb, greatest(1, round(200 * total ** 0.7::DOUBLE / sum(total ** 0.7::DOUBLE) OVER ()))::BIGINT AS a, row_number() OVER (ORDER BY source) - 1 AS i FROM t),
+fb AS (SELECT f, i, source, a, least(a, nb - f * a) AS b FROM w, unnest(generate_series(0, (nb - 1) // a)) AS g(f)),
+fl AS (SELECT f, sum(b)::BIGINT AS len, coalesce(sum(sum(b)) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM fb GROUP BY f),
+edf(f, t, done, pick, k) AS (
+  SELECT f, -1::BIGINT, (SELECT list(0::BIGINT) FROM w), -1::BIGINT, -1::BIGINT FROM fl
+  UNION ALL
+  SELECT f, t + 1, done[:p] || [done[p + 1] + 1] || done[p + 2:], p, done[p + 1] FROM (
+    SELECT r.f, r.t, r.done, min_by(fb.i, ((r.done[fb.i + 1] + 1) * len + b - 1) // b * 100000 + fb.i) AS p
+    FROM edf r JOIN fl ON r.f = fl.f JOIN fb ON fb.f = r.f
+    WHERE r.t + 1 < len AND r.done[fb.i + 1] < b AND (r.done[fb.i + 1] * len) // b <= r.t + 1 GROUP BY r.f, r.t, r.done))
+SELECT doc_id, s.source, size, start // 65536 AS block, base + e.t AS slot, start
+FROM s JOIN w ON s.source = w.source JOIN edf e ON e.f = start // 65536 // a AND e.pick = w.i AND e.k = start // 65536 - e.f * a JOIN fl ON fl.f = e.f
+"""
+
 _OP9 = r"""
 WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
      x AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l),
@@ -95,4 +115,4 @@ SELECT l.doc_id, l.source, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN n_
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_urlfilter": _OP3, "op9_linededup": _OP9}
+ORACLE: dict[str, str] = {"op3_urlfilter": _OP3, "op4_mixing": _OP4, "op9_linededup": _OP9}
