@@ -248,3 +248,14 @@ def variables(node) -> list[str]:
 
     walk(node)
     return list(out)
+
+
+def windows_first(body) -> list:
+    """A body with each window ahead of the first literal that reads its variable."""
+    out = list(body)
+    for w in [x for x in out if isinstance(x, Window)]:
+        first = next((i for i, x in enumerate(out) if x is not w and w.var in variables(x)), None)
+        if first is not None and first < out.index(w):
+            out.remove(w)
+            out.insert(first, w)
+    return out

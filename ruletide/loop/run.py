@@ -19,7 +19,7 @@ from ruletide.engine import value
 from ruletide.loop.config import ExecConfig
 from ruletide.loop.executor import RiskHalt, SimExecutor
 from ruletide.loop.kernel import Kernel, needs
-from ruletide.loop.market import DAY, Market
+from ruletide.loop.market import Market
 from ruletide.plans.compiler import Compiler, CompileError
 from ruletide.plans.program import Program, link
 
@@ -195,5 +195,3 @@ def run(spark: SparkSession, text: str | Program, facts: dict[str, DataFrame], p
 
     return RunResult(data.groupBy("run_id").applyInPandas(one, EVENTS))
 
-
-__all__ = ["DAY", "Point", "RunResult", "choose", "companions", "events", "feed", "load", "run", "run_input"]

@@ -9,12 +9,13 @@ A relation is the distinct union of its rules. Relations with inputs are special
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ruletide.dsl.ast import AGGREGATES, CONSTRUCTORS, RESOLUTIONS, SCALARS, TEMPORAL, Aggregate, Atom, Call, Compare, Duration, Lit, Name, Rank, Resample, Rule, Signature, Top, Var, Wild, variables
+from ruletide.dsl.ast import CONSTRUCTORS, RESOLUTIONS, TEMPORAL, Aggregate, Atom, Call, Compare, Duration, Lit, Name, Rank, Resample, Rule, Signature, Top, Var, Wild, variables
 from ruletide.dsl.ast import Window as Frame
 from ruletide.functions import partial
 from ruletide.operators import temporal
@@ -64,6 +65,14 @@ class Compiler:
         self._domains: dict[str, DataFrame] = {}
         self._recursive = {v for g in program.components() for v in g if len(g) > 1 or v in program.relations[v].reads}
         self._stack: list[str] = []
+        self._reads: Counter | None = None
+
+    def _shared(self, name: str) -> bool:
+        """Whether the relation being compiled is read in more than one place, with the same constants, below the goal."""
+        return any(n > 1 for (read, _), n in self._reads.items() if read == name)
+
+    def _count_reads(self, goal: str) -> None:
+        self._reads = Counter((a.name, tuple(repr(x) for x in a.args if isinstance(x, (Lit, Name)))) for n in self.program.reachable(goal) for r in self.program.relations[n].rules for a, _ in atoms(r.body) if a.name != n)
 
     # values
 
@@ -164,6 +173,9 @@ class Compiler:
         at = (name, consts)
         if at in self._relations:
             return self._relations[at]
+        if self._reads is None:
+            decides = "decide" in self.program.relations and self.program.relations["decide"].rules
+            self._count_reads("decide" if decides else name)
         keep = [a.name for a, c in zip(sig.args, consts, strict=True) if c is None]
         if rel.kind == "feedback":
             raise CompileError(f"`{name}` is executor feedback: run the closed loop")
@@ -184,6 +196,8 @@ class Compiler:
             if not made:
                 raise CompileError(f"`{name}` has no rules")
             out = reduce(lambda a, b: a.unionByName(b), made).distinct()
+        if rel.kind == "derived" and self._shared(name):
+            out = out.persist()  # solved once; what does not fit into memory goes to the executors' disks
         self._relations[at] = out
         return out
 
@@ -731,10 +745,3 @@ def _names(after, head) -> set[str]:
     for a in (*after, *head.args):
         walk(a)
     return found
-
-
-def reads(rule: Rule) -> list[tuple[Atom, str]]:
-    return list(atoms(rule.body))
-
-
-__all__ = ["AGGREGATES", "SCALARS", "CompileError", "Compiler", "reads", "spark_type"]

@@ -6,9 +6,9 @@ where many curves are compared (a study) each is a group of a DataFrame and call
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from itertools import combinations
-from math import comb, e, floor, inf, log, sqrt
+from math import comb, e, floor, inf, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -349,5 +349,3 @@ def curve_metrics(nav: DataFrame, by: str, time: str, equity: str, per_year: flo
     rows = nav.select(F.col(by).cast("string").alias("k"), F.unix_seconds(F.col(time).cast("timestamp")).alias("t"), F.col(equity).cast("double").alias("e"))
     return rows.groupBy("k").applyInPandas(one, schema)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + [asdict.__name__, log.__name__]
