@@ -350,6 +350,28 @@ def _(spark, d):
     return out.where("kind = 'decision'").select("t", F.get_json_object("payload", "$.equity").alias("equity"), F.get_json_object("payload", "$.amount").cast("double").alias("amount"))
 
 
+# sinks: written to the shared folder and read back with their checks
+
+
+_STORE = """environment store { close(+A: Equity, @T: Timestamp, -P: Price<USD>) @1d  universe(-A: Equity, @T: Timestamp) @1d complete
+  ticker(+A: Equity, @T: Timestamp, -S: Label) @1d complete } library l { env store resolution @1d }"""
+
+
+@register("snk_dataset", daily("SELECT a, t, p FROM close"), ("p",), "a t p")
+def _(spark, d):
+    path, m = _sink(spark), dt.market_1d(spark, d)
+    environment.write({"close": m["close"], "universe": m["universe"]}, path)
+    return environment.read(spark, link(_STORE).env, path)[0]["close"]
+
+
+@register("snk_bundle", daily("SELECT a, t, p FROM close WHERE t >= DATE '1996-03-01' AND t < DATE '1996-06-01'"), ("p",), "a t p")
+def _(spark, d):
+    """A bundle by month; the months asked for are the only ones read."""
+    path, m, env = _sink(spark), dt.market_1d(spark, d), link(_STORE).env
+    bundle.write(spark, env, {"close": m["close"], "universe": m["universe"]}, _securities(spark, d), path, "2002-01-01")
+    return bundle.read(spark, env, path, "1996-03", "1996-05", untested=True)[0]["close"]
+
+
 # the optional libraries: windows and cross-sections by name, lowered to the same operators
 
 _seen = "rel seen(+A: Equity, @T: Timestamp) seen(A, T) :- universe(A, T), prev(T, U), universe(A, _) asof U."
