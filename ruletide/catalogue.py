@@ -152,7 +152,7 @@ rules("rec_cumfactor", "rel r(+A: Equity, @T: Timestamp, -C: Scalar) r(A, T, C)
 rules("rec_row_number", "rel seen(+A: Equity, @T: Timestamp) rel row(+A: Equity, @T: Timestamp, -K: Scalar) seen(A, T) :- universe(A, T), prev(T, U), universe(A, _) asof U. row(A, T, 0) :- universe(A, T), not seen(A, T). row(A, T, K) :- seen(A, T), prev(T, U), row(A, _, J) asof U, K = J + 1.", "row", daily("SELECT a, t, (row_number() OVER (PARTITION BY a ORDER BY t) - 1)::DOUBLE AS k FROM universe"))
 rules("rec_highwater", "rel r(+A: Equity, @T: Timestamp, -H: Price<USD>) r(A, T, H) :- close(A, T, H), universe(A, T), month_start(T). r(A, T, H) :- close(A, T, P), universe(A, T), not bar1(T), prev(T, U), r(A, _, J) asof U, H = greatest(J, P). rel bar1(@T: Timestamp) bar1(T) :- universe(_, T), month_start(T).", "r", daily("ms AS (SELECT t FROM bars WHERE t0 IS NULL OR date_trunc('month', t) <> date_trunc('month', t0)), x AS (SELECT c.a, c.t, p, m.t IS NOT NULL AS s FROM close c JOIN universe u ON c.a = u.a AND c.t = u.t LEFT JOIN ms m ON c.t = m.t), g AS (SELECT *, sum(s::INT) OVER (PARTITION BY a ORDER BY t) AS seg FROM x) SELECT a, t, (max(p) OVER (PARTITION BY a, seg ORDER BY t)) AS h FROM g WHERE seg > 0"))
 rules("rec_latch", "rel enter(+A: Equity, @T: Timestamp) rel stay(+A: Equity, @T: Timestamp) rel on(+A: Equity, @T: Timestamp, -L: Scalar) enter(A, T) :- close(A, T, P), universe(A, T), P > 1900 USD/share. stay(A, T) :- close(A, T, P), P > 1200 USD/share. on(A, T, 1) :- universe(A, T), enter(A, T). on(A, T, L) :- universe(A, T), not enter(A, T), stay(A, T), prev(T, U), on(A, _, L) asof U. on(A, T, 0) :- universe(A, T), not enter(A, T), not stay(A, T).", "on", daily("x AS (SELECT u.a, u.t, CASE WHEN p > 1900 THEN 1 WHEN p <= 1200 THEN 0 END AS e FROM universe u JOIN close c ON u.a = c.a AND u.t = c.t), w AS (SELECT a, t, last_value(e IGNORE NULLS) OVER (PARTITION BY a ORDER BY t) AS l FROM x) SELECT a, t, l::DOUBLE AS l FROM w WHERE l IS NOT NULL"))
-rules("rec_ewm", "rel e(+A: Equity, @T: Timestamp, -X: Scalar) rel seen(+A: Equity, @T: Timestamp) seen(A, T) :- split(A, T, _), prev(T, U), split(A, _, _) asof U. e(A, T, X) :- split(A, T, _), volume(A, T, V), not seen(A, T), X = V / 1 shares. e(A, T, X) :- seen(A, T), volume(A, T, V), prev(T, U), e(A, _, Y) asof U, X = Y * 0.9 + V / 1 shares * 0.1.", "e", None)
+rules("rec_ewm", "rel e(+A: Equity, @T: Timestamp, -X: Scalar) rel seen(+A: Equity, @T: Timestamp) seen(A, T) :- split(A, T, _), prev(T, U), split(A, _, _) asof U. e(A, T, X) :- split(A, T, _), volume(A, T, V), not seen(A, T), X = V / 1 shares. e(A, T, X) :- seen(A, T), volume(A, T, V), prev(T, U), e(A, _, Y) asof U, X = Y * 0.9 + V / 1 shares * 0.1.", "e", daily("x AS (SELECT s.a, s.t, v, row_number() OVER (PARTITION BY s.a ORDER BY s.t) - 1 AS i FROM split s JOIN volume v ON s.a = v.a AND s.t = v.t) SELECT a, t, sum(CASE WHEN i = 0 THEN v ELSE 0.1::DOUBLE * v END / 0.9::DOUBLE ** i) OVER (PARTITION BY a ORDER BY t) * 0.9::DOUBLE ** i AS x FROM x"))
 
 # decisions
 
