@@ -8,16 +8,20 @@ permitted length that holds its contents.
 Texts longer than the largest length are cut into pieces of it, nothing is dropped. A text's length is its words plus one
 closing token, so an empty or null text is a piece of length one. Pieces are dealt by a hash into groups of GROUP_TOKENS
 tokens at most on average, and each group is packed by itself: a group costs one unfilled bin, and memory does not grow with
-the input. Repeated rows are packed each; other columns are ignored.
+the input. With ordered=True groups are runs of GROUP_TOKENS tokens of the rows' order instead, and groups and the bins of a
+group are numbered in that order. Repeated rows are packed each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruletide.session import ensure_checkpoint_dir
@@ -26,6 +30,7 @@ LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16  # tokens that a bin costs besides its length
 FILL = 0.98  # share of a bin's remaining room that later pieces are taken to fill
 GROUP_TOKENS = 1 << 19
+RUN = 256  # rows whose tokens are summed in one window
 SCHEMA = "id long, piece int, start long, length int, bin string, bin_offset int, capacity int, used int"
 
 
@@ -67,25 +72,62 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
 
 
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=LENGTHS, overhead: int = OVERHEAD, fill: float = FILL, group_tokens: int = GROUP_TOKENS, length: Column | None = None) -> DataFrame:
+def _places(docs: DataFrame) -> list[Column]:
+    """File or partition, and place in there, of each row: numbers that ascend in the rows' order."""
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_name")
+    except AnalysisException:  # no file behind it: the partitions are in order
+        n = F.monotonically_increasing_id()
+        return [F.shiftright(n, 33).cast("string").alias("part"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")]
+    return [F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("row")]
+
+
+def _part_order(part: str) -> tuple[int, str]:
+    """Spark numbers the files part-00000 and so on, with more digits from 100,000."""
+    found = re.match(r"(?:part-)?(\d+)", part)
+    return int(found.group(1)) if found else 0, part
+
+
+def _positions(thin: DataFrame) -> DataFrame:
+    """(id, n, before): the tokens that stand before each row. Summed in runs of RUN rows, over the runs of a part, then over the parts."""
+    spark = thin.sparkSession
+    runs = thin.groupBy("part", F.expr(f"row div {RUN}").alias("run")).agg(F.sum("n").alias("tokens")).checkpoint()
+    total, at = 0, []
+    for part, tokens in sorted(((r["part"], r["t"]) for r in runs.groupBy("part").agg(F.sum("tokens").alias("t")).collect()), key=lambda x: _part_order(x[0])):
+        at.append((part, total))
+        total += tokens
+    starts = spark.createDataFrame(at, "part string, first long")
+    earlier = Window.partitionBy("part").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("above", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).join(F.broadcast(starts), "part").select("part", "run", (F.col("first") + F.col("above")).alias("offset"))
+    inner = Window.partitionBy("part", "run").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = thin.withColumn("run", F.expr(f"row div {RUN}")).withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return rows.join(runs, ["part", "run"]).select("id", "n", (F.col("offset") + F.col("inside")).alias("before"))
+
+
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=LENGTHS, overhead: int = OVERHEAD, fill: float = FILL, group_tokens: int = GROUP_TOKENS, length: Column | None = None, ordered: bool = False) -> DataFrame:
     """One row for each piece: id, piece, start and length in its text, its bin, offset there, the bin's capacity and used.
 
-    length: a column of lengths of at least one; by default words plus one.
+    length: a column of lengths of at least one; by default words plus one. ordered: keep to the order of the rows (bins `g-b`
+    ascend with it), as far as the files or partitions of docs tell it.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     sizes, most = tuple(sorted(sizes)), max(sizes)
     n = length if length is not None else word_count(F.col(text_col)) + 1
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), n.cast("long").alias("n")).checkpoint()
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), n.cast("long").alias("n"), *(_places(docs) if ordered else [])).checkpoint()
     groups = max(1, -(-(thin.agg(F.sum("n")).first()[0] or 0) // group_tokens))
-    cut = thin.select("id", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {most}), i -> struct(int(i) as piece, i * {most} as start, int(least({most}, n - i * {most})) as length))")).alias("p"))
-    pieces = cut.select("id", F.col("p.piece").alias("piece"), F.col("p.start").alias("start"), F.col("p.length").alias("length"))
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "length"), F.lit(groups)))
+    thin = _positions(thin) if ordered else thin.withColumn("before", F.lit(0).cast("long"))
+    cut = thin.select("id", "before", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {most}), i -> struct(int(i) as piece, i * {most} as start, int(least({most}, n - i * {most})) as length))")).alias("p"))
+    pieces = cut.select("id", (F.col("before") + F.col("p.start")).alias("at"), F.col("p.piece").alias("piece"), F.col("p.start").alias("start"), F.col("p.length").alias("length"))
+    pieces = pieces.withColumn("grp", F.expr(f"at div {group_tokens}") if ordered else F.pmod(F.xxhash64("id", "piece", "length"), F.lit(groups)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
+        by = ["length", *(["at"] if ordered else []), "id", "piece"]
+        pdf = pdf.sort_values(by, ascending=[c != "length" for c in by], kind="stable")
         where, offset, capacity, used = pack(pdf["length"].tolist(), sizes, overhead, fill)
         g = int(pdf["grp"].iloc[0])
-        return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin": [f"{g}-{b}" for b in where], "bin_offset": offset, "capacity": [capacity[b] for b in where], "used": [used[b] for b in where]})
+        first = pdf["at"].groupby(np.array(where)).min().to_numpy()  # where a bin's earliest piece stands
+        name = np.argsort(np.argsort(first, kind="stable")) if ordered else np.arange(len(first))
+        return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin": [f"{g}-{name[b]}" for b in where], "bin_offset": offset, "capacity": [capacity[b] for b in where], "used": [used[b] for b in where]})
 
     return pieces.groupBy("grp").applyInPandas(fit, SCHEMA)
 

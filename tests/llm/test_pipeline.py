@@ -115,3 +115,38 @@ def test_edges_pass_through(spark, docs, folly, empty, tmp_path):
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_bins_follow_the_mixed_order(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(100, 700), "en", f"s{i % 3}", 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = {}
+    for name, weights in (("even", None), ("first", {"s0": 50.0, "s1": 1.0, "s2": 1.0})):
+        plan = mixing.mix(docs, weights, block_bytes=4096, carry=tuple(docs.columns))
+        now = mixing.in_order(plan).select("__row.*")
+        now.write.parquet(f"{tmp_path}/{name}")
+        order = {r["id"]: k for k, r in enumerate(sorted(plan.select("id", "slot", "start").collect(), key=lambda r: (r["slot"], r["start"])))}
+        for again in (spark.read.parquet(f"{tmp_path}/{name}"), now.checkpoint()):
+            got = packing.best_fit(again, group_tokens=20_000, ordered=True).collect()
+            groups = collections.defaultdict(list)
+            for r in got:
+                groups[int(r["bin"].split("-")[0])].append(r)
+            assert sorted(groups) == list(range(len(groups))) and len(groups) > 10
+            seen = [order[r["id"]] for g in sorted(groups) for r in sorted(groups[g], key=lambda r: order[r["id"]])]
+            assert seen == sorted(seen)  # groups are consecutive runs
+            assert all(sum(r["length"] for r in rs) <= 20_000 + max(packing.LENGTHS) for rs in groups.values())
+            for rs in groups.values():
+                least = collections.defaultdict(list)
+                for r in rs:
+                    least[int(r["bin"].split("-")[1])].append(order[r["id"]])
+                firsts = [min(least[b]) for b in sorted(least)]
+                assert firsts == sorted(firsts)
+        found[name] = {(r["id"], r["bin"]) for r in got}
+    assert found["even"] != found["first"]
+
+
+def test_pipeline_packs_in_order(spark):
+    docs = spark.createDataFrame([(i, "w " * 3000, "en", "s", 0) for i in range(400)], SCHEMA).coalesce(1)
+    groups = [int(r["bin"].split("-")[0]) for r in sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: r["doc_id"])]
+    assert groups == sorted(groups) and len(set(groups)) == 3
