@@ -5,6 +5,10 @@ opened of the size with the least cost for this piece: the size's cost, less wha
 price per token, since later and shorter pieces are likely to fill it. At the end every bin is downsized to the least
 permitted length that holds its contents.
 
+That cost looks at one piece, and with the default parameters it is always least for the least size. So the sizes of a group
+are chosen jointly: its pieces are packed once for each permitted length as the least that is opened, each trial is
+downsized, and the trial whose bins cost least together is kept.
+
 Texts longer than the largest length are cut into pieces of it, nothing is dropped. A text's length is its words plus one
 closing token, so an empty or null text is a piece of length one. Pieces are dealt by a hash into groups of GROUP_TOKENS
 tokens at most on average, and each group is packed by itself: a group costs one unfilled bin, and memory does not grow with
@@ -40,8 +44,8 @@ def opening(length: int, sizes=LENGTHS, overhead: int = OVERHEAD, fill: float =
     return min((s for s in sizes if s >= length), key=lambda s: (s + overhead - fill * price * (s - length), s))
 
 
-def pack(lengths: list[int], sizes=LENGTHS, overhead: int = OVERHEAD, fill: float = FILL) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Bin and offset of each piece (longest first), then capacity and used length of each bin."""
+def pack(lengths: list[int], sizes=LENGTHS, overhead: int = OVERHEAD, fill: float = FILL, least: int = 0) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Bin and offset of each piece (longest first), then capacity and used length of each bin; none is opened under least."""
     rooms: list[int] = []  # the distinct amounts of room of open bins, ascending
     open_bins: dict[int, list[int]] = defaultdict(list)
     where, offset, opened, used = [], [], [], []
@@ -53,7 +57,7 @@ def pack(lengths: list[int], sizes=LENGTHS, overhead: int = OVERHEAD, fill: floa
             if not open_bins[room]:
                 rooms.pop(at)
         else:
-            b, room = len(opened), opening(n, sizes, overhead, fill)
+            b, room = len(opened), max(least, opening(n, sizes, overhead, fill))
             opened.append(room)
             used.append(0)
         where.append(b)
@@ -67,6 +71,12 @@ def pack(lengths: list[int], sizes=LENGTHS, overhead: int = OVERHEAD, fill: floa
     return where, offset, [min(s for s in sizes if s >= u) for u in used], used
 
 
+def pack_jointly(lengths: list[int], sizes=LENGTHS, overhead: int = OVERHEAD, fill: float = FILL) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The cheapest of the packings that open no bin under one of the sizes."""
+    trials = (pack(lengths, sizes, overhead, fill, least) for least in sorted(sizes))
+    return min(trials, key=lambda t: sum(t[2]) + overhead * len(t[2]))
+
+
 def word_count(text: Column) -> Column:
     """Words between white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
@@ -123,7 +133,7 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         by = ["length", *(["at"] if ordered else []), "id", "piece"]
         pdf = pdf.sort_values(by, ascending=[c != "length" for c in by], kind="stable")
-        where, offset, capacity, used = pack(pdf["length"].tolist(), sizes, overhead, fill)
+        where, offset, capacity, used = pack_jointly(pdf["length"].tolist(), sizes, overhead, fill)
         g = int(pdf["grp"].iloc[0])
         first = pdf["at"].groupby(np.array(where)).min().to_numpy()  # where a bin's earliest piece stands
         name = np.argsort(np.argsort(first, kind="stable")) if ordered else np.arange(len(first))

@@ -471,6 +471,22 @@ def test_pack_is_best_fit():
         assert all(u <= c for u, c in zip(used, capacity))
 
 
+def test_sizes_are_chosen_jointly(spark):
+    rng = random.Random(12)
+    lengths = sorted((min(4096, int(rng.lognormvariate(5.3, 0.9)) + 1) for _ in range(400)), reverse=True)
+    cost = lambda t: sum(t[2]) + packing.OVERHEAD * len(t[2])
+    alone, joint = packing.pack(lengths), packing.pack_jointly(lengths)
+    assert cost(joint) < cost(alone) and sum(joint[3]) == sum(lengths)
+    docs = spark.createDataFrame([(i, "w " * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string").coalesce(1)
+    bins = {r["bin"]: (r["capacity"], r["used"]) for r in packing.best_fit(docs).collect()}
+    most = collections.defaultdict(int)
+    for r in packing.best_fit(docs).collect():
+        most[r["bin"]] = max(most[r["bin"]], r["length"])
+    assert sum(c + packing.OVERHEAD for c, _ in bins.values()) == cost(joint)
+    assert sum(most[b] <= 512 and c == 4096 for b, (c, _) in bins.items()) > 0  # larger than any piece needs
+    assert any(c < 4096 for c, _ in bins.values())  # and downsized at the end
+
+
 def test_sequences_hold_the_words(spark):
     texts = {1: "a b c", 2: "d " * 700, 3: "", 4: None}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
