@@ -150,3 +150,10 @@ def test_pipeline_packs_in_order(spark):
     docs = spark.createDataFrame([(i, "w " * 3000, "en", "s", 0) for i in range(400)], SCHEMA).coalesce(1)
     groups = [int(r["bin"].split("-")[0]) for r in sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: r["doc_id"])]
     assert groups == sorted(groups) and len(set(groups)) == 3
+
+
+def test_boilerplate_on_a_twelfth_of_the_pages_goes(spark):
+    line, other = "the same line of furniture", "a line that some pages share"
+    rows = [(i, "\n".join([*([line] if i % 12 == 0 else []), *([other] if i % 25 == 1 else []), f"own line {i}"]), "en", "s", 0) for i in range(600)]
+    got = [r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert not any(line in t for t in got) and sum(other in t for t in got) == 24
