@@ -26,7 +26,7 @@ WINDOW = 3
 WINDOW_SHARE = 50
 MIN_REPEAT = 8
 MAX_COVERED = 0.4
-MAX_LONGEST = 0.4
+MAX_LONGEST = 0.15  # under half of MAX_COVERED, else it never decides: a repeat covers its own words
 SYMBOLS = "#*$%&|<>"
 
 _IS_SYMBOL = np.zeros(256, bool)

@@ -273,6 +273,14 @@ def test_repetition(docs, folly, empty, spark, rows):
     assert repetition.judge_repetition(empty).collect() == []
 
 
+def test_a_long_repeat_fails_alone(spark):
+    w = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(w + w[:36])), (2, " ".join(w + w[:30]))], "doc_id long, text string")
+    got = {r["id"]: r for r in repetition.judge_repetition(docs).collect()}
+    assert got[1]["longest_repeat"] == 36 and got[1]["covered_words"] <= repetition.MAX_COVERED * got[1]["n_words"] and not got[1]["base_failed"]
+    assert not got[1]["kept"] and got[2]["kept"]
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 3, 200)
