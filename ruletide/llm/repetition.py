@@ -35,7 +35,22 @@ _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, n_repeats long, base_failed boolean, kept boolean"
 
 
-def suffix_array(tokens: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+class Level:
+    """Ranks of the suffixes by their first 2^k tokens; kept only for those that shared their rank before, if they are few."""
+
+    def __init__(self, rank: np.ndarray, tied: np.ndarray | None = None):
+        self.at = None if tied is None or 4 * len(tied) > len(rank) else np.sort(tied).astype(np.int32)
+        self.rank = (rank if self.at is None else rank[self.at]).astype(np.int32)
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes a and b, different ones, have one rank."""
+        if self.at is None:
+            return self.rank[a] == self.rank[b]
+        i, j = (np.minimum(np.searchsorted(self.at, x), len(self.at) - 1) for x in (a, b))
+        return (self.at[i] == a) & (self.at[j] == b) & (self.rank[i] == self.rank[j]) if len(self.at) else np.zeros(len(a), bool)
+
+
+def suffix_array(tokens: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list[Level]]:
     """The suffix array of tokens, and the suffixes' ranks by their first 1, 2, 4, ... tokens.
 
     room: tokens from each position to the end of its text; a suffix stops there. Ranks are positions of the first suffix of
@@ -48,7 +63,7 @@ def suffix_array(tokens: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list
     rank = np.empty(n, np.int64)
     new = np.concatenate(([True], key[1:] != key[:-1])) if n else np.zeros(0, bool)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else 0
-    levels.append(rank.astype(np.int32))
+    levels.append(Level(rank))
     tied = ~(new & np.concatenate((new[1:], [True]))) if n else new
     while tied.any():
         at = np.flatnonzero(tied)
@@ -59,33 +74,64 @@ def suffix_array(tokens: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list
         sub, key = sub[way], key[way]
         order[at] = sub
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        rank = rank.copy()
         rank[sub] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        levels.append(rank.astype(np.int32))
+        levels.append(Level(rank, sub))
         tied[at] = ~(new & np.concatenate((new[1:], [True])))
         h *= 2
     return order, levels
 
 
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray], room: np.ndarray) -> np.ndarray:
+def common_prefixes(order: np.ndarray, levels: list[Level], room: np.ndarray) -> np.ndarray:
     """For each two neighbours of the suffix array, how many first tokens they share."""
     lcp = np.zeros(max(0, len(order) - 1), np.int64)
-    live = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]]) if len(order) > 1 else np.zeros(0, np.int64)
-    a, b, got = order[live].copy(), order[live + 1].copy(), np.zeros(len(live), np.int64)
+    live = np.flatnonzero(levels[0].same(order[1:], order[:-1])) if len(order) > 1 else np.zeros(0, np.int64)
+    a, b, got, last = order[live], order[live + 1], np.zeros(len(live), np.int64), len(order) - 1
     for k in reversed(range(len(levels))):
-        h, last = 1 << k, len(order) - 1
-        x, y = np.minimum(a + got, last), np.minimum(b + got, last)
-        same = (levels[k][x] == levels[k][y]) & (room[a] - got >= h) & (room[b] - got >= h)
-        got += np.where(same, h, 0)
+        h = 1 << k
+        fits = np.flatnonzero((room[a] - got >= h) & (room[b] - got >= h))
+        x, y = np.minimum(a[fits] + got[fits], last), np.minimum(b[fits] + got[fits], last)
+        got[fits[levels[k].same(x, y)]] += h
     lcp[live] = got
     return lcp
 
 
+def maximal_repeats(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length and one position of every maximal repeat of `least` tokens or more.
+
+    A repeat is an interval of the suffix array whose common prefixes are no shorter than its own and that no neighbour
+    extends (so its occurrences are not all followed by one token); it is maximal if they are not all preceded by one token
+    either. before: the token before each position, negative and different from each other at the beginnings of texts.
+    """
+    left = before[order]
+    differs = np.concatenate(([0], np.cumsum(left[1:] != left[:-1]))) if len(order) else np.zeros(1, np.int64)
+    length, where, stack = [], [], []  # stack: (prefix, first suffix) of the open intervals
+    deep = np.flatnonzero(lcp >= least)
+
+    def close(floor: int, end: int, first: int) -> int:
+        """Close the open intervals deeper than floor; they end with suffix `end`. Returns where a new one of floor begins."""
+        while stack and stack[-1][0] > floor:
+            depth, first = stack.pop()
+            if differs[end] > differs[first]:
+                length.append(depth)
+                where.append(first)
+        return first
+
+    last = -2
+    for i, v in zip(deep.tolist(), lcp[deep].tolist(), strict=True):
+        if i != last + 1:
+            close(0, last + 1, 0)
+        first = close(v, i, i)
+        if not stack or stack[-1][0] < v:
+            stack.append((v, first))
+        last = i
+    close(0, last + 1, 0)
+    return np.array(length, np.int64), order[np.array(where, np.int64)] if where else np.zeros(0, np.int64)
+
+
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + lengths, -1)
-    return np.cumsum(edge)[:n] > 0
+    reach = np.zeros(n, np.int64)
+    reach[starts] = starts + lengths  # starts are distinct
+    return np.maximum.accumulate(reach) > np.arange(n)
 
 
 def repeats(tokens: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +154,10 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     n_words = np.bincount(doc, minlength=texts)
     first = np.concatenate(([0], np.cumsum(n_words)))
     room = first[doc + 1] - np.arange(n)
-    _, word = np.unique(tk.span_hashes(buf, starts, ends), return_inverse=True)
+    word = tk.span_ids(buf, starts, ends).astype(np.int64)
+    before = np.concatenate(([-1], word[:-1])) if n else word
+    opens = np.flatnonzero(room == n_words[doc]) if n else np.zeros(0, np.int64)
+    before[opens] = -1 - opens
     best, order, lcp = repeats(doc * (n + 1) + word, room)
     hit = np.flatnonzero(best >= WINDOW)
     windows = _covered(hit, np.full(len(hit), WINDOW), n)
@@ -116,16 +165,14 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     covered = _covered(long, best[long], n)
     longest = np.zeros(texts, np.int64)
     np.maximum.at(longest, doc, best)
-    # an interval opens where the common prefix rises: count those of MIN_REPEAT words or more
-    rise = np.flatnonzero((lcp >= MIN_REPEAT) & (lcp > np.concatenate(([0], lcp[:-1])))) if n > 1 else np.zeros(0, np.int64)
+    _, found = maximal_repeats(order, lcp, before, MIN_REPEAT)
     # lines: runs between newlines, empty ones have no word and never count
     l_start, l_end = tk.runs(buf != 0x0A, off)
-    l_doc = tk.owner(l_start, off)
-    solid = np.concatenate(([0], np.cumsum(~tk.IS_SPACE[buf], dtype=np.int64)))
-    full = solid[l_end] > solid[l_start]
-    l_hash, l_doc = tk.span_hashes(buf, l_start[full], l_end[full]), l_doc[full]
-    by = np.lexsort((l_hash, l_doc))
-    again = (l_hash[by][1:] == l_hash[by][:-1]) & (l_doc[by][1:] == l_doc[by][:-1])
+    inner = np.searchsorted(starts, l_start)
+    full = (inner < n) & (starts[np.minimum(inner, n - 1)] < l_end) if n else np.zeros(len(l_start), bool)
+    line, l_doc = tk.span_ids(buf, l_start[full], l_end[full]), tk.owner(l_start[full], off)
+    by = np.lexsort((line, l_doc))
+    again = (line[by][1:] == line[by][:-1]) & (l_doc[by][1:] == l_doc[by][:-1])
     return {
         "n_words": n_words,
         "word_chars": tk.per_text(~tk.IS_SPACE[buf] & ((buf & 0xC0) != 0x80), off),
@@ -134,7 +181,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         "n_repeat_words": np.bincount(doc[windows], minlength=texts),
         "covered_words": np.bincount(doc[covered], minlength=texts),
         "longest_repeat": longest,
-        "n_repeats": np.bincount(doc[order[rise]], minlength=texts),
+        "n_repeats": np.bincount(doc[found], minlength=texts),
     }
 
 

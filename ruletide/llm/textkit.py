@@ -10,10 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
-_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,16 +59,20 @@ def flat_lengths(column: pa.Array) -> np.ndarray:
     return np.diff(flat(column)[1])
 
 
-def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(inside: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; a run never crosses from one text to the next."""
-    if not len(inside):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.zeros(len(inside), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    begin = inside & (first | ~np.concatenate(([False], inside[:-1])))
-    last = np.concatenate((first[1:], [True]))
-    end = inside & (last | ~np.concatenate((inside[1:], [False])))
-    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+    n, cuts = len(inside), np.unique(offsets[:-1])
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, n, chunk):  # whole buffers of flags are never copied
+        hi = min(n, lo + chunk)
+        here, fresh = inside[lo:hi], np.zeros(hi - lo, bool)
+        fresh[cuts[np.searchsorted(cuts, lo) : np.searchsorted(cuts, hi)] - lo] = True
+        before = np.concatenate(([lo > 0 and inside[lo - 1]], here[:-1]))
+        starts.append(np.flatnonzero(here & (fresh | ~before)) + lo)
+        ends.append(np.flatnonzero(before & (fresh | ~here)) + lo)
+    if n and inside[n - 1]:
+        ends.append(np.array([n]))
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ def owner(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser, so that every bit of a polynomial hash depends on all its bytes."""
+    """A bijective 64-bit finaliser, so that sums of hashes spread over all bits."""
     h = h ^ (h >> U64(30))
     h = h * U64(0xBF58476D1CE4E5B9)
     h = h ^ (h >> U64(27))
@@ -91,30 +94,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The byte spans (ascending, not overlapping) as a dictionary array: equal indices are equal bytes, exactly."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    data = buf[np.cumsum(edge[:-1], dtype=np.int8, out=edge[:-1]).astype(bool)]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=U64)
-    return _powers["up"][:n], _powers["down"][:n]
+def span_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span: the same for equal bytes, different for different ones."""
+    return spans(buf, starts, ends).indices.to_numpy() if len(starts) else np.zeros(0, np.int32)
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
+    """The XXH64 (seed 42) of each span, computed once for each distinct one."""
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    held = spans(buf, starts, ends)
+    distinct = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in held.dictionary.to_pylist()), U64, len(held.dictionary))
+    return distinct[held.indices.to_numpy()]
 
 
-def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values (one per byte) over each text."""
-    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-    return total[offsets[1:]] - total[offsets[:-1]]
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags (one per byte) each text has."""
+    return np.fromiter((np.count_nonzero(flags[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.int64, len(offsets) - 1)

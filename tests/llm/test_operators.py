@@ -6,8 +6,11 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -273,6 +276,72 @@ def test_repetition(docs, folly, empty, spark, rows):
     assert repetition.judge_repetition(empty).collect() == []
 
 
+def brute_maximal(text, least):
+    """Repeats that neither the word before nor the word after extends at all their places."""
+    w, found = words_of(text), 0
+    n = len(w)
+    for size in range(least, n):
+        at = collections.defaultdict(list)
+        for i in range(n - size + 1):
+            at[tuple(w[i : i + size])].append(i)
+        for places in at.values():
+            before = {w[i - 1] if i else -i - 1 for i in places}
+            after = {w[i + size] if i + size < n else -1 for i in places}
+            found += len(places) > 1 and len(before) > 1 and len(after) > 1
+    return found
+
+
+def test_repeats_are_counted_maximal():
+    rng = random.Random(16)
+    texts = [repetitive(rng) for _ in range(40)] + [" ".join(rng.choice("ab") for _ in range(60)) for _ in range(20)]
+    part = " ".join(f"p{k}" for k in range(9))
+    texts += [f"x {part} y {part} z", f"x {part} y {part} b", f"{part} q {part}", "a " * 30, "x y z " * 12, "", None]
+    got = repetition.measure(pa.array(texts))["n_repeats"].tolist()
+    assert got == [brute_maximal(t, repetition.MIN_REPEAT) for t in texts] and max(got) > 5
+
+
+def thue_morse(k, zero="a", one="b"):
+    """Two strings that collide under a polynomial hash modulo 2^64, whatever its odd base."""
+    x, y = zero, one
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_identities_are_exact(spark):
+    x, y = thue_morse(12)
+    text = "\n".join([x, y])
+    m = repetition.measure(pa.array([text, x + " " + y + " " + x]))
+    assert m["n_dup_lines"].tolist() == [0, 0] and m["longest_repeat"].tolist() == [0, 1]
+    buf, off = textkit.flat(pa.array([x, y, x]))
+    assert textkit.span_ids(buf, off[:-1], off[1:]).tolist() == [0, 1, 0]
+    assert [int(h) for h in textkit.span_hashes(buf, off[:-1], off[1:])] == [xxhash.xxh64_intdigest(t, 42) for t in (x, y, x)]
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from ruletide.llm import {module} as module, textkit
+rng = np.random.default_rng(3)
+words = rng.integers(97, 123, (14_000_000, 6), dtype=np.uint8)
+text = np.concatenate((words, np.full((len(words), 1), 32, np.uint8)), axis=1).tobytes().decode()
+del words
+column = pa.array([text], pa.large_string())
+del text
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+{call}
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("module,call,most", [("repetition", "assert module.measure(column)['n_words'].tolist() == [14_000_000]", 2600)])
+def test_memory_of_a_text_of_98_mb(module, call, most):
+    """MB over what the text itself takes."""
+    root = pathlib.Path(__file__).resolve().parents[2]
+    ran = subprocess.run([sys.executable, "-c", MEMORY.format(module=module, call=call)], capture_output=True, text=True, cwd=root, check=True)
+    assert int(ran.stdout.split()[-1]) < most
+
+
 def test_a_long_repeat_fails_alone(spark):
     w = [f"w{k}" for k in range(200)]
     docs = spark.createDataFrame([(1, " ".join(w + w[:36])), (2, " ".join(w + w[:30]))], "doc_id long, text string")
