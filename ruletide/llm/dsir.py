@@ -1,39 +1,43 @@
 """Quality selection by importance resampling.
 
 Two hashed n-gram models are estimated: one from a target (texts labelled good, at most TARGET_DOCS of them, chosen by a
-hash), one from all raw texts. A text's log importance weight is the sum of the log ratios of its words, punctuation runs and
-pairs of them, hashed to BUCKETS; a token that repeats its predecessor counts as one repeat marker. A text of more than
-STRETCH n-grams has the mean weight of a stretch of that length, so that a small bias for each word does not grow with length. Adding Gumbel noise of
-scale TEMPERATURE and taking the k largest draws k texts without replacement in proportion to weight ** (1 / TEMPERATURE).
-By default k is the number of texts whose weight is at least exp(-MARGIN), those the target explains about as well as the
-raw text or better.
+hash), one from all raw texts. The features are words, punctuation runs and pairs of neighbours, hashed by XXH64 to BUCKETS;
+a bucket's ratio is (target count + PRIOR) / (expected count + PRIOR). A text's log importance weight is the sum of the log
+ratios of its features. Adding standard Gumbel noise to it and taking the k largest draws k texts without replacement, each
+in proportion to its weight (TEMPERATURE 1; another temperature draws in proportion to weight ** (1 / temperature)).
+
+k does not look at the weights: it is given, or a fraction of the texts. By default the fraction is the share of good texts
+among the labelled ones plus MARGIN standard errors of that share, so that clean texts are not lost to the error of the
+estimate; without a label it is 1.
 
 The k-th largest value is found on the executors by counting value prefixes, 16 bits a round, so nothing but 65,536 counts
-reaches the driver; equal values at the border are all kept. Model counts are summed for each bucket over all texts.
+reaches the driver. Ties of the score are cut by a hash of id and text, so exactly k rows are drawn, unless rows that are
+equal in both straddle the border: these share their noise and their fate and all stay. Model counts are summed for each
+bucket over all texts.
 
-A null or empty text has log weight 0. Without any labelled good text every weight is 0 and every text is kept. Noise comes
-from a hash of the id, so repeated rows share their fate. Other columns are ignored.
+A null text, or one without a word or sign, has no weight and no score (null) and is never drawn. Without any labelled good
+text every weight is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ruletide.llm import textkit as tk
 from ruletide.session import ensure_checkpoint_dir
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 TARGET_DOCS = 4000
-TEMPERATURE = 0.1
-MARGIN = 8.0
-PRIOR = 128.0
-STRETCH = 200
+TEMPERATURE = 1.0
+MARGIN = 3.0
+PRIOR = 32.0
 _U = np.uint64
 
 
@@ -48,11 +52,6 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     by = np.argsort(starts, kind="stable")
     starts, ends = starts[by], ends[by]
     doc, h = tk.owner(starts, off), tk.span_hashes(buf, starts, ends)
-    if len(h):
-        again = np.concatenate(([False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])))
-        # with the punctuation between, a stutter still repeats: look two tokens back as well
-        again[2:] |= (h[2:] == h[:-2]) & (doc[2:] == doc[:-2]) & np.isin(starts[2:], ws, assume_unique=True)
-        h = np.where(again, _U(0x5EED), h)
     pair = doc[1:] == doc[:-1]
     two = tk.mix(h[:-1] * _U(3) + h[1:] + _U(1))[pair]
     return np.concatenate((doc, doc[1:][pair])), (np.concatenate((h, two)) % _U(buckets)).astype(np.int64)
@@ -95,9 +94,15 @@ def _sortable(x: np.ndarray) -> np.ndarray:
     return np.where(b < 0, b ^ np.int64(0x7FFFFFFFFFFFFFFF), b)
 
 
+def gumbel(h: np.ndarray) -> np.ndarray:
+    """Standard Gumbel values from uniform 64-bit ones."""
+    u = ((h >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return -np.log(-np.log(u))
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
-    """(row, weight, score, key) of every row of docs: the row as a struct, its log importance weight, the weight with Gumbel
-    noise, and that as a sortable long."""
+    """(row, weight, score, key, tie) of every row of docs: the row as a struct, its log importance weight, the weight with
+    Gumbel noise, that as a sortable long, and the hash that the noise comes from."""
     tk.keep_batches_small(docs.sparkSession)
     at = docs.columns.index(text_col)
 
@@ -106,19 +111,19 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
             flat = pa.RecordBatch.from_arrays([whole.column(0).field(at), whole.column(0), whole.column(1)], ["text", "row", "h"])
             for batch in tk.slices(flat, "text", 2 << 20):
                 doc, b = features(batch.column(0), len(ratio))
-                n = np.bincount(doc, minlength=len(batch))
-                weight = np.bincount(doc, ratio[b], minlength=len(batch)) / np.maximum(1, n / STRETCH)
-                u = ((batch.column(2).to_numpy(zero_copy_only=False).view(_U) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
-                score = weight - temperature * np.log(-np.log(u))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weight), pa.array(score), pa.array(_sortable(score))], ["row", "weight", "score", "key"])
-
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
-    schema = StructType([rows.schema["row"], StructField("weight", DoubleType()), StructField("score", DoubleType()), StructField("key", LongType())])
+                without = np.bincount(doc, minlength=len(batch)) == 0
+                weight = np.bincount(doc, ratio[b], minlength=len(batch))
+                score = weight + temperature * gumbel(batch.column(2).to_numpy(zero_copy_only=False).view(_U))
+                key = pa.array(_sortable(score), mask=without)
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weight, mask=without), pa.array(score, mask=without), key, batch.column(2)], ["row", "weight", "score", "key", "tie"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"))
+    schema = StructType([rows.schema["row"], StructField("weight", DoubleType()), StructField("score", DoubleType()), StructField("key", LongType()), StructField("tie", LongType())])
     return rows.mapInArrow(of, schema)
 
 
-def kth_largest(rows: DataFrame, k: int, key: str = "key") -> int | None:
-    """The k-th largest long of a column, by four rounds of counts of 16 more bits each."""
+def kth_largest(rows: DataFrame, k: int, key: str = "key") -> tuple[int, int] | None:
+    """The k-th largest long of a column, by four rounds of counts of 16 more bits each, and how many of the k it is."""
     if k <= 0:
         return None
     prefix, left = None, k
@@ -131,29 +136,48 @@ def kth_largest(rows: DataFrame, k: int, key: str = "key") -> int | None:
             if n >= left:
                 break
             left -= n
-    return prefix
-
-
-def threshold(rows: DataFrame, k: int | None = None, margin: float = MARGIN) -> int | None:
-    """The least sort key among the k drawn of weighed rows; None draws nothing."""
-    return kth_largest(rows, rows.where(F.col("weight") >= -margin).count() if k is None else k)
-
-
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, margin: float = MARGIN) -> DataFrame:
+        else:  # fewer than k rows: all of them count
+            if not counts:
+                return None
+            left = counts[-1][1]
+    return prefix, left
+
+
+def good_share(labels: DataFrame, margin: float = MARGIN) -> float:
+    """The share of good ones among the labelled ids, plus margin standard errors; 1 without labels."""
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
+    n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
+    if not good:
+        return 1.0
+    share = good / n
+    return min(1.0, share + margin * (share * (1 - share) / n) ** 0.5)
+
+
+def draw(rows: DataFrame, labels: DataFrame, k: int | None = None, fraction: float | None = None) -> Column:
+    """Whether a weighed row is among the k drawn."""
+    able = rows.where("key is not null").select("key", "tie")
+    if k is None:
+        k = math.ceil(able.count() * (good_share(labels) if fraction is None else fraction))
+    least = kth_largest(able, k)
+    if least is None:
+        return F.lit(False)
+    border, left = least
+    tied = able.where(F.col("key") == F.lit(border))
+    cut = kth_largest(tied, left, "tie")
+    return F.coalesce((F.col("key") > F.lit(border)) | ((F.col("key") == F.lit(border)) & (F.col("tie") >= F.lit(cut[0]))), F.lit(False))
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, fraction: float | None = None, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
     """(id, log_weight, score, kept) of every row of docs."""
     ensure_checkpoint_dir(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = weigh(thin, model(thin, labels, "id"), "id", "text", temperature).select("row.id", "weight", "score", "key").checkpoint()
-    least = threshold(rows, k, margin)
-    kept = F.lit(False) if least is None else F.col("key") >= F.lit(least)
-    return rows.select("id", F.col("weight").alias("log_weight"), "score", kept.alias("kept"))
+    rows = weigh(thin, model(thin, labels, "id"), "id", "text", temperature, seed).select("row.id", "weight", "score", "key", "tie").checkpoint()
+    return rows.select("id", F.col("weight").alias("log_weight"), "score", draw(rows, labels, k, fraction).alias("kept"))
 
 
-def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, margin: float = MARGIN) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns; texts are weighed again and not joined, so none is shuffled."""
+def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, fraction: float | None = None, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns; each text is weighed once and written beside its weight, so none
+    is shuffled."""
     ensure_checkpoint_dir(docs.sparkSession)
-    ratio = model(docs, labels, id_col, text_col)
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    least = threshold(weigh(thin, ratio, "id", "text", temperature).select("weight", "key").checkpoint(), k, margin)
-    rows = weigh(docs, ratio, id_col, text_col, temperature)
-    return rows.where(F.lit(False) if least is None else F.col("key") >= F.lit(least)).select("row.*")
+    rows = weigh(docs, model(docs, labels, id_col, text_col), id_col, text_col, temperature, seed).select("row", "key", "tie").checkpoint()
+    return rows.where(draw(rows, labels, k, fraction)).select("row.*")

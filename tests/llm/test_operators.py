@@ -67,37 +67,91 @@ def test_splitters_split_heavy_keys_only():
 
 def brute_features(text):
     toks = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff\s]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
-    kinds = [bool(re.match(r"[0-9A-Za-z\u0080-\U0010ffff]", t)) for t in toks]
-    seen = ["<rep>" if (i and t == toks[i - 1]) or (i > 1 and t == toks[i - 2] and kinds[i]) else t for i, t in enumerate(toks)]
-    return seen + list(zip(seen, seen[1:]))
+    return toks + list(zip(toks, toks[1:]))
+
+
+def brute_mix(h):
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * times % (1 << 64)
+    return h ^ h >> 31
+
+
+def brute_bucket(feature, buckets):
+    word = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    h = word(feature) if isinstance(feature, str) else brute_mix((3 * word(feature[0]) + word(feature[1]) + 1) % (1 << 64))
+    return h % buckets
+
+
+def brute_weights(texts, target):
+    """Log importance weight of each text (None without a feature); target: numbers of the target texts."""
+    raw, good = collections.Counter(), collections.Counter()
+    found = [[brute_bucket(f, dsir.BUCKETS) for f in brute_features(t)] for t in texts]
+    for i, f in enumerate(found):
+        raw.update(f)
+        if i in target:
+            good.update(f)
+    share = sum(good.values()) / max(1, sum(raw.values()))
+    ratio = {b: math.log((good[b] + dsir.PRIOR) / (n * share + dsir.PRIOR)) if share else 0.0 for b, n in raw.items()}
+    return [math.fsum(ratio[b] for b in f) if f else None for f in found]
+
+
+def brute_noise(h):
+    return -math.log(-math.log(((h % (1 << 64) >> 11) + 0.5) / (1 << 53)))
+
+
+def good_and_junk(rng, n=400, labelled=200):
+    vocab = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab) + ("%%%" if i % 5 == 0 else "") for _ in range(rng.randint(1, 60)))) for i in range(n)]
+    return rows, [(i, int(i % 5 != 0), 0) for i in range(labelled)]
 
 
 def test_quality_features(rows):
     texts = [t or "" for _, t, *_ in rows if t != "" and (t is None or len(t) < 5000)]
     doc, bucket = dsir.features(pa.array(texts), 1 << 40)
     for i, t in enumerate(texts):
-        mine = collections.Counter(bucket[doc == i].tolist()).values()
-        assert sorted(mine) == sorted(collections.Counter(brute_features(t)).values())
+        assert sorted(bucket[doc == i].tolist()) == sorted(brute_bucket(f, 1 << 40) for f in brute_features(t))
 
 
-def test_quality_draws_exactly_k_and_drops_junk(spark):
-    rng = random.Random(2)
-    vocab = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)]
-    rows, labels = [], []
-    for i in range(400):
-        junk = i % 5 == 0
-        w = [rng.choice(vocab) + ("%%%" if junk else "") for _ in range(60)]
-        rows.append((i, " ".join(w)))
-        if i < 200:
-            labels.append((i, 0 if junk else 1, 0))
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quality_weights_noise_and_draw(spark, seed):
+    rows, labels = good_and_junk(random.Random(2))
+    rows += [(None, "abc abc"), (None, "abc abc"), (None, None), (900, ""), (901, " \n"), (3, "a second text of an id")]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = brute_weights([t for _, t in rows], {k for k, (i, _) in enumerate(rows) if i is not None and i < 200 and i % 5})
+    h = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")).collect()}
+    scored = sorted(((w + brute_noise(h[r]), w) for r, w in zip(rows, want) if w is not None), reverse=True)
+    for k in (1, 57, 300):
+        got = dsir.resample(docs, lab, k=k, seed=seed).collect()
+        assert len(got) == len(rows) and sum(r["kept"] for r in got) == k
+        for r, (i, t), w in zip(got, rows, want):
+            assert r["id"] == i and (r["log_weight"] is None) == (w is None) and (w is not None or not r["kept"])
+            if w is not None:
+                assert math.isclose(r["log_weight"], w, abs_tol=1e-9) and math.isclose(r["score"], w + brute_noise(h[i, t]), abs_tol=1e-9)
+                assert r["kept"] == (r["score"] >= scored[k - 1][0] - 1e-12)
+    cut = sorted((w for w in want if w is not None), reverse=True)[56]
+    some = dsir.resample(docs, lab, k=57, seed=seed).collect()
+    assert any(r["kept"] != (r["log_weight"] >= cut) for r in some if r["log_weight"] is not None)  # chance decides, not a threshold
+    assert {r["doc_id"] for r in dsir.drawn(docs, lab, k=57, seed=seed).collect()} == {r["id"] for r in some if r["kept"]}
+
+
+def test_gumbel_top_k_draws_in_proportion_to_the_weights():
+    weights = np.array([0.5, 0.25, 0.15, 0.1])
+    h = np.random.default_rng(5).integers(0, 1 << 64, (200_000, 4), dtype=np.uint64)
+    order = np.argsort(-(np.log(weights) + dsir.gumbel(h)), axis=1)
+    first = np.bincount(order[:, 0], minlength=4) / len(h)
+    assert np.abs(first - weights).max() < 0.005
+    both = {(i, j): np.mean((order[:, 0] == i) & (order[:, 1] == j)) for i in range(4) for j in range(4) if i != j}
+    assert all(abs(p - weights[i] * weights[j] / (1 - weights[i])) < 0.005 for (i, j), p in both.items())
+
+
+def test_quality_keeps_the_good_share(spark):
+    rows, labels = good_and_junk(random.Random(2))
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {r["id"]: r for r in dsir.resample(docs, lab).collect()}
-    assert all(got[i]["kept"] == (i % 5 != 0) for i in range(400))
-    few = dsir.resample(docs, lab, k=50).collect()
-    assert sum(r["kept"] for r in few) == 50
-    top = sorted((r["score"] for r in few), reverse=True)[49]
-    assert all(r["kept"] == (r["score"] >= top) for r in few)
-    assert {r["doc_id"] for r in dsir.drawn(docs, lab).collect()} == {i for i in range(400) if i % 5}
+    assert math.isclose(dsir.good_share(lab), 0.8 + 3 * (0.8 * 0.2 / 200) ** 0.5)
+    got = dsir.resample(docs, lab).collect()
+    assert sum(r["kept"] for r in got) == math.ceil(400 * dsir.good_share(lab)) and all(r["kept"] for r in got if r["id"] % 5)
+    assert [r["kept"] for r in dsir.resample(docs, lab, fraction=0.0).collect()] == [False] * 400
+    assert all(r["kept"] for r in dsir.resample(docs, lab, k=1000).collect())
 
 
 def test_quality_edges(docs, folly, empty, spark, rows):
@@ -105,7 +159,8 @@ def test_quality_edges(docs, folly, empty, spark, rows):
     none = lab.where("false")
     out = dsir.resample(docs, lab)
     assert out.count() == len(rows) and tuples(dsir.resample(folly, lab)) == tuples(out)
-    assert all(r["kept"] and r["log_weight"] == 0 for r in dsir.resample(docs, none).collect())
+    for r in dsir.resample(docs, none).collect():
+        assert (r["kept"], r["log_weight"]) == ((False, None) if r["id"] in (130, 131, 132) or (r["id"] is None and r["score"] is None) else (True, 0.0))
     assert dsir.resample(empty, lab).collect() == [] and dsir.drawn(empty, none).collect() == []
     assert dsir.drawn(folly, lab).columns == folly.columns
 
@@ -114,9 +169,10 @@ def test_kth_largest(spark):
     rng = random.Random(4)
     vals = [rng.randint(-(1 << 62), 1 << 62) for _ in range(200)] + [0, 0, 0, -1]
     df = spark.createDataFrame([(v,) for v in vals], "key long")
-    for k in (1, 7, 100, len(vals)):
-        assert dsir.kth_largest(df, k) == sorted(vals, reverse=True)[k - 1]
-    assert dsir.kth_largest(df, 0) is None
+    down = sorted(vals, reverse=True)
+    for k in (1, 7, 100, 101, 102, 103, len(vals)):
+        assert dsir.kth_largest(df, k) == (down[k - 1], k - sum(v > down[k - 1] for v in vals))
+    assert dsir.kth_largest(df, 0) is None and dsir.kth_largest(df, 999)[0] == down[-1] and dsir.kth_largest(df.where("false"), 3) is None
 
 
 # 3 urls
