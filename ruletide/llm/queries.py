@@ -79,24 +79,26 @@ SELECT j.page_id, host, path, rule, coalesce(rv, CASE WHEN listed THEN 'block' E
 FROM j LEFT JOIN fit ON j.page_id = fit.page_id
 """
 
-#: The schedule frame by frame and slot by slot, as a recursion: earliest deadline first among the released.
+#: The schedule slot by slot, as a recursion: earliest deadline first among the released, shares anew where a source runs out.
 _OP4 = r"""
 WITH RECURSIVE
 d AS (SELECT doc_id, source, (coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
 s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+b AS (SELECT greatest(65536, (sum(size) + 262143) // 262144)::BIGINT AS block FROM d),
 t AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
-w AS (SELECT source, (total + 65535) // 65536 AS nb, greatest(1, round(200 * total ** 0.7::DOUBLE / sum(total ** 0.7::DOUBLE) OVER ()))::BIGINT AS a, row_number() OVER (ORDER BY source) - 1 AS i FROM t),
-fb AS (SELECT f, i, source, a, least(a, nb - f * a) AS b FROM w, unnest(generate_series(0, (nb - 1) // a)) AS g(f)),
-fl AS (SELECT f, sum(b)::BIGINT AS len, coalesce(sum(sum(b)) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM fb GROUP BY f),
-edf(f, t, done, pick, k) AS (
-  SELECT f, -1::BIGINT, (SELECT list(0::BIGINT) FROM w), -1::BIGINT, -1::BIGINT FROM fl
+w AS (SELECT source, (total + block - 1) // block AS nb, greatest(1, round(total ** 0.7::DOUBLE / sum(total ** 0.7::DOUBLE) OVER () * 1099511627776))::BIGINT AS n,
+             row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM t, b),
+edf(t, t0, d, done, since, pick, k) AS (
+  SELECT -1::BIGINT, 0::BIGINT, (SELECT sum(n)::BIGINT FROM w), (SELECT list(0::BIGINT) FROM w), (SELECT list(0::BIGINT) FROM w), -1::BIGINT, -1::BIGINT
   UNION ALL
-  SELECT f, t + 1, done[:p] || [done[p + 1] + 1] || done[p + 2:], p, done[p + 1] FROM (
-    SELECT r.f, r.t, r.done, min_by(fb.i, ((r.done[fb.i + 1] + 1) * len + b - 1) // b * 100000 + fb.i) AS p
-    FROM edf r JOIN fl ON r.f = fl.f JOIN fb ON fb.f = r.f
-    WHERE r.t + 1 < len AND r.done[fb.i + 1] < b AND (r.done[fb.i + 1] * len) // b <= r.t + 1 GROUP BY r.f, r.t, r.done))
-SELECT doc_id, s.source, size, start // 65536 AS block, base + e.t AS slot, start
-FROM s JOIN w ON s.source = w.source JOIN edf e ON e.f = start // 65536 // a AND e.pick = w.i AND e.k = start // 65536 - e.f * a JOIN fl ON fl.f = e.f
+  SELECT t + 1, CASE WHEN ends THEN t + 2 ELSE t0 END, CASE WHEN ends THEN d - own ELSE d END, now, CASE WHEN ends THEN now ELSE since END, p, done[p + 1] FROM (
+    SELECT *, done[:p] || [done[p + 1] + 1] || done[p + 2:] AS now, done[p + 1] + 1 = own_nb AS ends FROM (
+      SELECT r.t, r.t0, r.d, r.done, r.since, min_by(w.i, (due, w.i)) AS p, min_by(w.n, (due, w.i)) AS own, min_by(w.nb, (due, w.i)) AS own_nb
+      FROM (SELECT r.*, w.*, r.t0 + ((done[w.i + 1] - since[w.i + 1]) * r.d) // w.n AS rel, r.t0 + ((done[w.i + 1] - since[w.i + 1] + 1) * r.d + w.n - 1) // w.n AS due
+            FROM edf r, w WHERE done[w.i + 1] < w.nb) r JOIN w ON w.i = r.i
+      WHERE rel <= r.t + 1 GROUP BY r.t, r.t0, r.d, r.done, r.since)))
+SELECT doc_id, s.source, size, start // block AS block, e.t AS slot, start
+FROM s JOIN b ON true JOIN w ON s.source IS NOT DISTINCT FROM w.source JOIN edf e ON e.pick = w.i AND e.k = start // block
 """
 
 _OP9 = r"""

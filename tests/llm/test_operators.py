@@ -12,6 +12,7 @@ import re
 import subprocess
 import sys
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -222,63 +223,93 @@ def test_urls_empty(spark):
 # 4 mixing
 
 
-def brute_schedule(blocks, a):
-    """Frame by frame, slot by slot: earliest deadline first among the released."""
-    slots, f, base = {}, 0, 0
-    while True:
-        b = [max(0, min(x, n - f * x)) for n, x in zip(blocks, a)]
-        total = sum(b)
-        if not total:
-            return slots
-        done = [0] * len(b)
-        for t in range(total):
-            ready = [(-(-(done[i] + 1) * total // b[i]), i) for i in range(len(b)) if done[i] < b[i] and done[i] * total // b[i] <= t]
-            _, i = min(ready)
-            slots[i, f * a[i] + done[i]] = base + t
-            done[i] += 1
-        base, f = base + total, f + 1
-
-
-def test_mixing_matches_simulation(docs, folly, empty, rows):
-    for weights in (None, {"s0": 5.0, "s1": 1.0, "s2": 2.0, None: 1.0}):
-        out = mixing.mix(docs, weights, block_bytes=512, frame=20)
+def brute_schedule(blocks, weights):
+    """Slot by slot, earliest deadline first among the released, with exact fractions: {(source, block): slot}."""
+    total = sum(weights)
+    n = [Fraction(max(1, round(w / total * mixing.UNIT))) for w in weights]
+    slots, done, begin, since, t = {}, [0] * len(blocks), 0, [0] * len(blocks), 0
+    while any(d < b for d, b in zip(done, blocks)):
+        live = [i for i, b in enumerate(blocks) if done[i] < b]
+        share = {i: n[i] / sum(n[j] for j in live) for i in live}
+        ready = [(math.ceil((done[i] - since[i] + 1) / share[i]), i) for i in live if math.floor((done[i] - since[i]) / share[i]) <= t - begin]
+        _, i = min(ready)
+        slots[i, done[i]] = t
+        done[i], t = done[i] + 1, t + 1
+        if done[i] == blocks[i]:
+            begin, since = t, list(done)
+    return slots
+
+
+def key_of(source):
+    return "n" if source is None else f"s{source}"
+
+
+@pytest.mark.parametrize("heavy", [mixing.HEAVY_ROWS, 3])
+def test_mixing_matches_simulation(docs, folly, empty, rows, monkeypatch, heavy):
+    monkeypatch.setattr(mixing, "HEAVY_ROWS", heavy)
+    totals = collections.Counter()
+    for i, t, _, s, _ in rows:
+        totals[key_of(s)] += len((t or "").encode()) + 1
+    names = sorted(totals)
+    for weights in (None, {"s0": 5.0, "s1": 1.3, "s2": 2.0, None: 1.0}):
+        out = mixing.mix(docs, weights, block_bytes=512)
         got = out.collect()
-        assert len(got) == len(rows)
-        totals = collections.Counter()
-        for i, t, _, s, _ in rows:
-            totals["n" if s is None else "s" + s] += len((t or "").encode()) + 1
-        names = sorted(totals)
-        given = {s: totals[s] ** mixing.ALPHA for s in names} if weights is None else {s: {("n" if k is None else "s" + k): v for k, v in weights.items()}.get(s, 1.0) for s in names}
-        per = mixing.frame_blocks(dict(totals), given, 20)
-        want = brute_schedule([-(-totals[s] // 512) for s in names], [per[s] for s in names])
+        assert collections.Counter((r["id"], r["source"], r["size"]) for r in got) == collections.Counter((i, s, len((t or "").encode()) + 1) for i, t, _, s, _ in rows)
+        given = [float(totals[s]) ** mixing.ALPHA if weights is None else {key_of(k): v for k, v in weights.items()}.get(s, 1.0) for s in names]
+        want = brute_schedule([-(-totals[s] // 512) for s in names], given)
         for r in got:
-            i = names.index("n" if r["source"] is None else "s" + r["source"])
-            assert r["block"] == r["start"] // 512 and r["slot"] == want[i, r["block"]]
+            i = names.index(key_of(r["source"]))
+            assert r["block"] == r["start"] // 512 and r["slot"] == want[i, r["block"]] and r["slots"] == len(want)
         for s in names:  # a source's rows tile its bytes
-            mine = sorted((r["start"], r["size"]) for r in got if ("n" if r["source"] is None else "s" + r["source"]) == s)
+            mine = sorted((r["start"], r["size"]) for r in got if key_of(r["source"]) == s)
             assert mine[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(mine, mine[1:]))
-    assert tuples(mixing.mix(folly, weights, block_bytes=512, frame=20)) == tuples(out)
+    assert tuples(mixing.mix(folly, weights, block_bytes=512).select("source", "slots")) == tuples(out.select("source", "slots"))
     assert mixing.mix(empty).collect() == []
     carried = mixing.mix(docs, block_bytes=512, carry=tuple(docs.columns)).select("__row.*")
     assert tuples(carried) == tuples(docs)
 
 
-def test_mixing_keeps_every_source_within_a_block(spark):
-    blocks, a = [40, 100, 7, 3], [4, 10, 7, 1]
-    slots = brute_schedule(blocks, a)
-    order = sorted(slots, key=slots.get)
-    assert sorted(slots.values()) == list(range(sum(blocks)))
-    for f in range(1):
-        for t in range(1, sum(a) + 1):
-            for i, x in enumerate(a):
-                assert abs(sum(s == i for s, _ in order[:t]) - x * t / sum(a)) < 1
-    got = {(r["source"], r["k"]): r["place"] for r in mixing._schedules(spark, blocks, a).where("template = 0").collect()}
-    assert got == {(i, k): v for (i, k), v in slots.items() if v < sum(a)}
-
-
-def test_mixing_refuses_bad_weights(docs):
+@pytest.mark.parametrize("weights", [[0.9, 0.0925, 0.0075], [math.pi, math.e, 1.0, 0.001, 7.77], [1.0] * 7, [5.0**-k for k in range(9)]])
+def test_mixing_keeps_every_source_within_a_block(spark, weights):
+    """Against the weights as given, at every slot of every stretch, over more than 10,000 slots."""
+    rng = random.Random(3)
+    blocks = [max(1, round(11_000 * w / sum(weights) * rng.uniform(1, 1.05))) for w in weights]
+    frame = spark.createDataFrame([(f"s{i}", b * 10 - 3, w) for i, (b, w) in enumerate(zip(blocks, weights))], "source string, bytes long, weight double")
+    order = [r["source"] for r in mixing.schedule(frame, 10).orderBy("slot").collect()]
+    assert len(order) == sum(blocks) > 10_000 and collections.Counter(order) == {f"s{i}": b for i, b in enumerate(blocks)}
+    left, worst, t = dict(enumerate(blocks)), 0.0, 0
+    had, since = dict.fromkeys(left, 0), 0
+    for s in order:
+        i = int(s[1:])
+        had[i], left[i], t = had[i] + 1, left[i] - 1, t + 1
+        live = sum(weights[j] for j in had)
+        worst = max(worst, max(abs(had[j] - weights[j] / live * (t - since)) for j in had))
+        if not left[i]:
+            had, since = {j: 0 for j in had if left[j]}, t
+    assert worst < 1 + 1e-6
+
+
+def test_mixing_takes_many_sources(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 50), f"s{i % 1500}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 3000 and {r["slot"] for r in got} == set(range(1500))
+
+
+def test_mixing_cuts_a_heap_of_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HEAVY_ROWS", 500)
+    docs = spark.range(8000).selectExpr("if(id < 4000, null, id) as doc_id", "'the same' as text", "'hot' as source")
+    plan = mixing.mix(docs, block_bytes=900)
+    spread = docs.sparkSession.createDataFrame(plan.select("start", "size").collect(), "start long, size long")
+    starts = sorted(r["start"] for r in spread.collect())
+    assert starts == [9 * k for k in range(8000)]
+    rows = mixing.mix(docs, block_bytes=900, carry=("doc_id",))
+    assert rows.where("__row.doc_id is null").count() == 4000
+
+
+@pytest.mark.parametrize("weights", [{"s0": 0.0}, {"s0": -1.0, "s1": 2.0}, {}, {"s0": float("nan")}])
+def test_mixing_refuses_bad_weights(docs, weights):
     with pytest.raises(ValueError):
-        mixing.mix(docs, {"s0": 0.0})
+        mixing.mix(docs, weights)
 
 
 # 5 repetition
