@@ -20,46 +20,57 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruletide.llm import textkit as tk
 from ruletide.llm.graph import components
-from ruletide.llm.textkit import keep_batches_small
 
 SEED = 42
 SLICE = 8192
 _U = np.uint64
 
 
-def fingerprint(text: str | bytes | None, words: int = 3) -> int:
-    """The 64-bit fingerprint of one text."""
-    if text is None:
-        return 0
-    parts = (text.encode() if isinstance(text, str) else text).lower().split()  # bytes: A-Z and ASCII white space only
-    if not parts:
-        return 0
-    joined, n = b" ".join(parts), len(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    if n <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)  # one shingle: its own majority
-    starts = np.concatenate(([0], ends[:-1] + 1))[: n - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)], _U)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(_U)[0])
+#: The bits of a byte, one in each byte of a long.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(_U).ravel()
+
+
+def bit_counts(h: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """(texts, 64): how many of a text's hashes have each bit; doc ascends."""
+    counts = np.zeros((texts, 64), np.int64)
+    if not len(h):
+        return counts
+    # runs of one text and 255 hashes at most: a byte holds their count
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+    inside = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    cut = np.flatnonzero(first | (inside % 255 == 0))
+    home = np.flatnonzero(first[cut])
+    for k in range(8):
+        part = np.add.reduceat(_SPREAD[(h >> _U(8 * k)).astype(np.uint8)], cut)
+        counts[doc[cut[home]], 8 * k : 8 * k + 8] = np.add.reduceat(part.view(np.uint8).reshape(-1, 8), home, axis=0, dtype=np.int64)
+    return counts
+
+
+def fingerprints(column: pa.Array, words: int = 3, block: int = 1 << 20) -> np.ndarray:
+    """The 64-bit fingerprint of each text of a column."""
+    buf, off = tk.flat(column)
+    joined, starts, ends, doc = tk.shingles(tk.LOWER[buf], off, words)
+    counts, texts = np.zeros((len(off) - 1, 64), np.int64), len(off) - 1
+    for lo in range(0, len(doc), block):
+        at = slice(lo, lo + block)
+        counts += bit_counts(tk.xxh64(joined, starts[at], ends[at], SEED), doc[at], texts)
+    total = np.bincount(doc, minlength=texts)
+    return np.packbits(counts * 2 > total[:, None], axis=1, bitorder="little").view(_U).ravel()
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed long."""
-    keep_batches_small(docs.sparkSession)
+    tk.keep_batches_small(docs.sparkSession)
 
     @F.arrow_udf("long")
     def of(text: pa.Array) -> pa.Array:
-        found = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in text), _U, len(text))
-        return pa.array(found.view(np.int64))
+        parts = tk.slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", 1 << 20)
+        return pa.array(np.concatenate([fingerprints(b.column(0), words) for b in parts] or [np.zeros(0, _U)]).view(np.int64))
 
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fp"))
 

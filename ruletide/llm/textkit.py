@@ -109,13 +109,93 @@ def span_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return spans(buf, starts, ends).indices.to_numpy() if len(starts) else np.zeros(0, np.int32)
 
 
+_P1, _P2, _P3, _P4, _P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return x << U64(by) | x >> U64(64 - by)
+
+
+def _xxh64(bytes_: np.ndarray, eights: np.ndarray, fours: np.ndarray, at: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        at, seed_, size = at.copy(), U64(seed), (ends - at).astype(U64)
+        lane = lambda x: _turn(x * _P2, 31) * _P1
+        h = np.full(len(at), seed_ + _P5)
+        long = np.flatnonzero(size >= U64(32))
+        if len(long):
+            v = [np.full(len(long), seed_ + x) for x in (_P1 + _P2, _P2, U64(0), U64(0) - _P1)]
+            live = np.arange(len(long))
+            while len(live):
+                p = at[long[live]]
+                for k in range(4):
+                    v[k][live] = _turn(v[k][live] + eights[p + 8 * k] * _P2, 31) * _P1
+                at[long[live]] += 32
+                live = live[ends[long[live]] - at[long[live]] >= 32]
+            whole = _turn(v[0], 1) + _turn(v[1], 7) + _turn(v[2], 12) + _turn(v[3], 18)
+            for x in v:
+                whole = (whole ^ lane(x)) * _P1 + _P4
+            h[long] = whole
+        h += size
+        for _ in range(3):
+            live = np.flatnonzero(ends - at >= 8)
+            h[live] = _turn(h[live] ^ lane(eights[at[live]]), 27) * _P1 + _P4
+            at[live] += 8
+        live = np.flatnonzero(ends - at >= 4)
+        h[live] = _turn(h[live] ^ fours[at[live]].astype(U64) * _P1, 23) * _P2 + _P3
+        at[live] += 4
+        for _ in range(3):
+            live = np.flatnonzero(ends > at)
+            h[live] = _turn(h[live] ^ bytes_[at[live]].astype(U64) * _P5, 11) * _P1
+            at[live] += 1
+        h = (h ^ h >> U64(33)) * _P2
+        h = (h ^ h >> U64(29)) * _P3
+        return h ^ h >> U64(32)
+
+
+def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42, block: int = 1 << 14, most: int = 1 << 10) -> np.ndarray:
+    """The XXH64 of each byte span, which may overlap: many short spans in step with each other, long ones one by one."""
+    out = np.empty(len(starts), U64)
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
+    fours = np.ndarray(len(buf) + 1, "<u4", padded, 0, (1,))
+    for lo in range(0, len(starts), block):
+        s, e = starts[lo : lo + block], ends[lo : lo + block]
+        short = e - s <= most
+        if short.all():
+            out[lo : lo + block] = _xxh64(padded, eights, fours, s, e, seed)
+            continue
+        at = np.flatnonzero(short) + lo
+        out[at] = _xxh64(padded, eights, fours, starts[at], ends[at], seed)
+        for i in (np.flatnonzero(~short) + lo).tolist():
+            out[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed)
+    return out
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The XXH64 (seed 42) of each span, computed once for each distinct one."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    held = spans(buf, starts, ends)
-    distinct = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in held.dictionary.to_pylist()), U64, len(held.dictionary))
-    return distinct[held.indices.to_numpy()]
+    """The XXH64 (seed 42) of each span."""
+    return xxh64(buf, starts, ends)
+
+
+def shingles(buf: np.ndarray, offsets: np.ndarray, words_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words with one space between (bytes), and starts, ends and text numbers of their shingles in there.
+
+    A shingle is a run of so many words; a text of fewer is one shingle, a text without a word has none.
+    """
+    space = IS_SPACE[buf]
+    starts, ends = runs(~space, offsets)
+    doc = owner(starts, offsets)
+    gap = space[np.minimum(ends, len(buf) - 1)] & (ends < len(buf)) if len(starts) else np.zeros(0, bool)
+    # each word keeps the white space after it, if there is any, as one space
+    keep = ~space
+    keep[ends[gap]] = True
+    joined = np.where(space[keep], np.uint8(32), buf[keep])
+    size = ends - starts
+    starts = np.cumsum(size + gap) - (size + gap)
+    ends = starts + size
+    last = np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))[doc] if len(doc) else doc  # one past the text's last word
+    at = np.arange(len(doc))
+    first = np.flatnonzero((at + words_ <= last) | np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else at
+    return joined, starts[first], ends[np.minimum(first + words_, last[first]) - 1], doc[first]
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
