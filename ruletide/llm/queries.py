@@ -53,8 +53,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = linefreq.drop_boilerplate(docs)
-    return out.select("doc_id", "source", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    out = linefreq.drop_boilerplate(docs, counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "source", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +107,13 @@ WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FRO
      solid AS (SELECT * FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
      total AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
      often AS (SELECT s.source, s.line FROM (SELECT source, line, count(DISTINCT doc_id) AS pages FROM solid GROUP BY source, line) s
-               JOIN total t ON s.source = t.source WHERE pages >= 5 AND pages > total * 0.1::DOUBLE),
+               JOIN total t ON s.source = t.source WHERE pages >= 2 AND pages > total * 0.065::DOUBLE),
      marked AS (SELECT x.*, regexp_matches(x.line, '[^\x20\x09-\x0D]') AS full_line, o.line IS NOT NULL AND regexp_matches(x.line, '[^\x20\x09-\x0D]') AS gone
                 FROM x LEFT JOIN often o ON x.source = o.source AND x.line = o.line),
      g AS (SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (gone) AS n_gone,
                   string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
-SELECT l.doc_id, l.source, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN n_lines > n_gone THEN n_gone ELSE 0 END::BIGINT AS n_dropped,
-       md5(CASE WHEN n_lines > n_gone THEN kept ELSE text END) AS kept_md5
+SELECT l.doc_id, l.source, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_gone, 0)::BIGINT AS n_dropped,
+       md5(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) AS kept_md5
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id
 """
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from conftest import FOLLY
 from pyspark.sql import functions as F
 
 from ruletide.llm import dsir, graph, langid, linefreq, mixing, packing, repetition, sharding, simhash, spotsigs, textkit, urlfilter
@@ -663,7 +664,8 @@ def test_sequences_hold_the_words(spark):
 
 
 @pytest.mark.parametrize("bound", [linefreq.BROADCAST_LINES, 0])
-def test_lines(docs, folly, empty, rows, bound):
+@pytest.mark.parametrize("whole", [False, True])
+def test_lines(docs, folly, empty, rows, bound, whole):
     total = collections.Counter(s for *_, s, _ in rows)
     seen = collections.Counter()
     for _, t, _, s, _ in rows:
@@ -671,16 +673,31 @@ def test_lines(docs, folly, empty, rows, bound):
             seen[s, x] += 1
     drop = {k for k, n in seen.items() if n >= linefreq.MIN_PAGES and n > total[k[0]] * linefreq.RATIO}
     want = collections.Counter()
-    for i, t, _, s, _ in rows:
+    for i, t, lang, s, n in rows:
         full = [x for x in (t or "").split("\n") if words_of(x)]
         gone = [x for x in full if (s, x) in drop]
-        kept = t if t is None or len(gone) == len(full) else "\n".join(x for x in t.split("\n") if (s, x) not in drop)
-        want[i, s, kept, len(full), 0 if len(gone) == len(full) else len(gone)] += 1
-    out = linefreq.drop_boilerplate(docs, broadcast_lines=bound)
-    assert tuples(out.select("doc_id", "source", "text", "n_lines", "n_dropped")) == want
-    assert any(k[4] for k in want)
-    assert tuples(linefreq.drop_boilerplate(folly, broadcast_lines=bound).select("doc_id", "source", "text", "n_lines", "n_dropped")) == want
-    assert linefreq.drop_boilerplate(empty).collect() == []
+        left = whole and len(gone) == len(full)
+        kept = t if t is None or left else "\n".join(x for x in t.split("\n") if (s, x) not in drop)
+        want[i, kept, lang, s, n, len(full), 0 if left else len(gone)] += 1
+    named = {"counts": ("lines", "gone"), "broadcast_lines": bound, "keep_whole": whole}
+    out = linefreq.drop_boilerplate(docs, **named)
+    assert tuples(out) == want and out.columns == [*docs.columns, "lines", "gone"]
+    assert any(k[6] for k in want) and (any(k[1] == "" and k[6] for k in want) != whole)
+    strange = linefreq.drop_boilerplate(folly, broadcast_lines=bound, keep_whole=whole)
+    assert strange.columns == folly.columns and tuples(strange) == collections.Counter({(*k[:5], *("x" if "string" in c else 7 for c in FOLLY.split(", "))): n for k, n in tally(want, 5).items()})
+    assert linefreq.drop_boilerplate(empty, **named).collect() == []
+
+
+def tally(counter, width):
+    out = collections.Counter()
+    for k, n in counter.items():
+        out[k[:width]] += n
+    return out
+
+
+def test_a_small_host_keeps_its_lines(spark):
+    docs = spark.createDataFrame([(1, "only page\nof its host", "a"), (2, "menu\nx", "b"), (3, "menu\ny", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in linefreq.drop_boilerplate(docs).collect()} == {1: "only page\nof its host", 2: "x", 3: "y"}
 
 
 # 10 languages
