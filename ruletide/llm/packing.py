@@ -10,9 +10,9 @@ are chosen jointly: its pieces are packed once for each permitted length as the
 downsized, and the trial whose bins cost least together is kept.
 
 Texts longer than the largest length are cut into pieces of it, nothing is dropped. A text's length is its words plus one
-closing token, so an empty or null text is a piece of length one. Pieces are dealt by a hash into groups of GROUP_TOKENS
-tokens at most on average, and each group is packed by itself: a group costs one unfilled bin, and memory does not grow with
-the input. With ordered=True groups are runs of GROUP_TOKENS tokens of the rows' order instead, and groups and the bins of a
+closing token, so an empty or null text is a piece of length one. Pieces are dealt by a hash of their row's place into groups
+of GROUP_TOKENS tokens at most on average, whatever their ids, and each group is packed by itself: a group costs one unfilled
+bin, and memory does not grow with the input. With ordered=True groups are runs of GROUP_TOKENS tokens of the rows' order instead, and groups and the bins of a
 group are numbered in that order. Repeated rows are packed each; other columns are ignored.
 """
 
@@ -28,6 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruletide.llm.places import placed
 from ruletide.session import ensure_checkpoint_dir
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -123,12 +124,16 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     ensure_checkpoint_dir(docs.sparkSession)
     sizes, most = tuple(sorted(sizes)), max(sizes)
     n = length if length is not None else word_count(F.col(text_col)) + 1
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), n.cast("long").alias("n"), *(_places(docs) if ordered else [])).checkpoint()
+    where = _places(docs)
+    if not ordered:
+        docs, part, at = placed(docs)
+        where = [F.xxhash64(part, at).alias("before")]
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), n.cast("long").alias("n"), *where).checkpoint()
     groups = max(1, -(-(thin.agg(F.sum("n")).first()[0] or 0) // group_tokens))
-    thin = _positions(thin) if ordered else thin.withColumn("before", F.lit(0).cast("long"))
+    thin = _positions(thin) if ordered else thin
     cut = thin.select("id", "before", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {most}), i -> struct(int(i) as piece, i * {most} as start, int(least({most}, n - i * {most})) as length))")).alias("p"))
     pieces = cut.select("id", (F.col("before") + F.col("p.start")).alias("at"), F.col("p.piece").alias("piece"), F.col("p.start").alias("start"), F.col("p.length").alias("length"))
-    pieces = pieces.withColumn("grp", F.expr(f"at div {group_tokens}") if ordered else F.pmod(F.xxhash64("id", "piece", "length"), F.lit(groups)))
+    pieces = pieces.withColumn("grp", F.expr(f"at div {group_tokens}") if ordered else F.pmod(F.xxhash64("at", "piece"), F.lit(groups)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         by = ["length", *(["at"] if ordered else []), "id", "piece"]

@@ -5,7 +5,7 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-FOLLY = "shard string, fingerprint int, kept int, __h string, slot string, host string, id string, h int, n_lines string, __row int, rule int"
+FOLLY = "shard string, fingerprint int, kept int, __h string, slot string, host string, id string, h int, n_lines string, n_dropped string, __row int, rule int, row string, text_ string, key int, place int, part int, before int"
 
 
 def words(rng: random.Random, n: int, alphabet: str = "abcdefgh") -> list[str]:
