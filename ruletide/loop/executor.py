@@ -142,18 +142,18 @@ class SimExecutor:
         if d.kind == "moc":
             last = self.m.session_last(sym, w.t)
             if last is None:
-                return "expire", f"moc: no price for {sym} in the session of {moment(w.t)}"
+                return "expire", f"{sym} did not trade on the day of {moment(w.t)}, so it has no close"
             if last > t:
                 return "wait", None
             p = self.m.bar_price(sym, last)
-            return ("fill", (p, last)) if p is not None else ("expire", f"moc: no close for {sym} at {moment(last)}")
+            return ("fill", (p, last)) if p is not None else ("expire", f"{sym} has no closing print at {moment(last)}")
         if d.kind in ("moo", "moo_moc"):
             o = self.m.open(sym, t)
             if o is not None:
                 return "fill", (o, t)
-            return ("expire", f"moo: {sym} did not open in the session after {moment(w.t)}") if day != w.first_day else ("wait", None)
+            return ("expire", f"{sym} has no opening print on the day after {moment(w.t)}") if day != w.first_day else ("wait", None)
         if (d.tif == "day" and day != w.first_day) or (d.tif == "bars" and w.bars >= d.n):
-            return "expire", f"{d.kind} expired unfilled ({sym})"
+            return "expire", f"the {d.kind} level of {sym} was not reached in time"
         w.bars += 1
         o, h, lo = self.m.open(sym, t), self.m.high(sym, t), self.m.low(sym, t)
         if None in (o, h, lo):
@@ -231,7 +231,7 @@ class SimExecutor:
             base = max(equity, 0.0) if self.cfg.compounding else self.cfg.initial_cash
             orders.sort(key=lambda o: not self.reduces_first(o[0], base, t))
             if orders and equity <= 0 and self.cfg.on_ruin == "halt":
-                raise RiskHalt(f"{moment(before)} {orders[0][0].text()}: ruin: equity at {moment(t)} is {equity:.2f}, not positive, with orders pending")
+                raise RiskHalt(f"account wiped out by {moment(t)} (worth {equity:.2f}); first order that cannot be carried: {orders[0][0].text()} of {moment(before)}")
             costs, exits = 0.0, []
             for order in orders:
                 costs += self.execute(*order, before, t, base, costs, exits)
@@ -252,16 +252,16 @@ class SimExecutor:
         qty = self.size(d, pos, base, price, slip)
         if qty is None:
             self.open_targets.pop(sym, None)
-            self.drop(t, d, f"no price for {sym} at {moment(now)}")
+            self.drop(t, d, f"{sym} has no quote at {moment(now)}")
             return 0.0
         if qty == 0:
             self.open_targets.pop(sym, None)
             return 0.0
         if d.ctor in ("sell", "cover") and pos and (pos + qty) * pos < 0:
             if c.on_oversize == "halt":
-                raise RiskHalt(f"{moment(t)} {d.text()}: {d.ctor} {abs(qty):g} of {abs(pos):g} shares {'held' if pos > 0 else 'short'}: the order would cross zero")
+                raise RiskHalt(f"{d.text()} of {moment(t)} flips a position of {pos:g} shares")
             if c.on_oversize == "clamp":
-                self.drop(t, d, f"clamped at position: {abs(pos):g} of {abs(qty):g} shares filled, {abs(qty) - abs(pos):g} dropped")
+                self.drop(t, d, f"cut to the position of {abs(pos):g} shares; {abs(qty) - abs(pos):g} more were asked for")
                 qty = -pos
         wanted = abs(qty)
         if not again:
@@ -271,7 +271,7 @@ class SimExecutor:
             cap = c.lots(c.participation_cap * volume)
             if wanted > cap:
                 partial, qty = True, math.copysign(cap, qty)
-        note = lambda got: f"partial fill: {got:g} of {wanted:g} shares (participation cap {c.participation_cap * 100:g}% of volume {volume or 0:g}); remainder expired"
+        note = lambda got: f"volume {volume or 0:g} lets {got:g} of {wanted:g} shares through ({c.participation_cap:.4g} of it); the rest lapses"
         if qty == 0:
             if resting:
                 self.open_targets[sym] = (d, rule)
@@ -284,7 +284,7 @@ class SimExecutor:
             price = self.m.last.get(sym) if reduces else None
             if price is None:
                 self.open_targets.pop(sym, None)
-                self.drop(t, d, f"no price for {sym} at {moment(now)}")
+                self.drop(t, d, f"{sym} has no quote at {moment(now)}")
                 return 0.0
         adv = self.m.adv(sym, self.bars, c.adv_window)
         imp = c.impact_coef * math.sqrt(abs(qty) / adv) if c.impact_coef > 0 and adv else 0.0
@@ -298,7 +298,7 @@ class SimExecutor:
             if not bucket.shortable:
                 self.totals["not_shortable"] += 1
                 self.open_targets.pop(sym, None)
-                self.drop(t, d, f"not shortable: ADV {'unknown' if adv is None else format(adv, '.0f')} of {sym} is below {bucket.adv_below:g} (the smallest borrow bucket)")
+                self.drop(t, d, f"no stock of {sym} to borrow: it trades {'an unknown amount' if adv is None else format(adv, '.0f')} a day, under {bucket.adv_below:g}")
                 return 0.0
         if not reduces and self.over_levered(d, t, now, sym, qty, price, qty * paid * m + commission + fee, spent + costs):
             return 0.0
@@ -331,9 +331,9 @@ class SimExecutor:
         else:
             breach = gross > limit * c.initial_cash + slack
         if breach and c.on_leverage == "halt":
-            raise RiskHalt(f"{moment(t)} {d.text()}: leverage: after the fill cash would be {cash:.2f} and gross exposure {gross:.2f} against equity {net:.2f} (limit {limit:g}x gross)")
+            raise RiskHalt(f"{d.text()} of {moment(t)} breaks the gross limit of {limit:g}: exposure {gross:.2f}, cash {cash:.2f}, worth {net:.2f}")
         if breach and c.on_leverage == "reject":
-            self.drop(t, d, f"rejected, would exceed {limit:g}x equity: cash {cash:.2f}, gross {gross:.2f} against equity {net:.2f}")
+            self.drop(t, d, f"refused at the gross limit of {limit:g}: exposure {gross:.2f}, cash {cash:.2f}, worth {net:.2f}")
             return True
         return False
 
@@ -408,7 +408,7 @@ class SimExecutor:
         need = self.cfg.maintenance_margin * gross
         if gross > 0 and 0 < equity < need - 1e-9 * gross:
             if self.cfg.on_margin_call == "halt":
-                raise RiskHalt(f"{moment(t)}: margin call: equity {equity:.2f} is below {self.cfg.maintenance_margin * 100:g}% of gross exposure {gross:.2f}")
+                raise RiskHalt(f"maintenance missed at {moment(t)}: {equity:.2f} of capital carries {gross:.2f}, less than a share of {self.cfg.maintenance_margin:g}")
             self.totals["margin_calls"] += 1
             if self.cfg.on_margin_call == "liquidate":
                 self.liquidate(t, 1 - equity / need)
@@ -436,14 +436,14 @@ class SimExecutor:
 
     def finish(self) -> None:
         for d, _ in sorted(self.pending or [], key=lambda x: x[0].equity):
-            self.drop(self.pending_t, d, "no next bar")
+            self.drop(self.pending_t, d, "the data ended first")
         self.pending = None
         last = self.bars[-1] if self.bars else None
         if last is not None and any(w.d.kind == "moc" and (x := self.m.session_last(s, w.t)) is not None and x <= last for s, w in self.working.items()):
             self.take(last, [])
             self.fill(last + 1)  # settle what has closed; nothing else trades there
         for w in self.working.values():
-            self.drop(w.t, w.d, f"{w.d.kind}: the data ended before it executed")
+            self.drop(w.t, w.d, f"the {w.d.kind} order was open when the data ended")
         self.working = {}
 
     def summary(self) -> dict:

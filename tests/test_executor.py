@@ -54,7 +54,7 @@ def fills(x):
 def test_market_orders_fill_at_the_next_close():
     x = play(market([10, 11, 10, 12, 13]), {0: [Decision("buy", "X", 50)], 2: [Decision("sell", "X", 50)], 4: [Decision("buy", "X", 1)]}, frictionless(), 5)
     assert fills(x) == [(1, 50, 11), (3, -50, 12)]
-    assert x.cash == 1_000_050 and of(x, "dropped")[0][1]["reason"] == "no next bar"
+    assert x.cash == 1_000_050 and of(x, "dropped")[0][1]["reason"] == "the data ended first"
     assert [f["equity_value"] for _, f in of(x, "nav")] == [1e6, 1e6, 1e6 - 50, 1e6 + 50, 1e6 + 50]
 
 
@@ -69,7 +69,7 @@ def test_costs():
 def test_impact_and_participation():
     x = play(market([10, 10, 10, 10]), {0: [Decision("buy", "X", 400)]}, frictionless(impact_coef=0.1, participation_cap=0.25), 4)
     assert fills(x) == [(1, 250, round(10 * (1 + 0.1 * math.sqrt(0.25)), 6))]
-    assert "partial fill: 250 of 400" in of(x, "dropped")[0][1]["reason"]
+    assert "250 of 400 shares" in of(x, "dropped")[0][1]["reason"]
     x = play(market([10, 10, 10, 10]), {0: [Decision("target_quantity", "X", 400)]}, frictionless(participation_cap=0.25), 4)
     assert fills(x) == [(1, 250, 10), (2, 150, 10)] and not of(x, "dropped")
     assert x.summary()["fill_ratio"] == 1.0 and x.summary()["max_participation"] == 0.25
@@ -101,7 +101,7 @@ def test_bought_weight_is_sized_at_the_slipped_price():
     assert fills(x) == [(1, math.trunc(1e6 / 10.1), 10.1)]
 
 
-@pytest.mark.parametrize("policy,reason", [("halt", "cross zero"), ("clamp", "clamped at position"), ("allow", None)])
+@pytest.mark.parametrize("policy,reason", [("halt", "flips a position"), ("clamp", "cut to the position"), ("allow", None)])
 def test_oversize(policy, reason):
     plan = {0: [Decision("buy", "X", 10)], 1: [Decision("sell", "X", 15)]}
     if policy == "halt":
@@ -115,10 +115,10 @@ def test_oversize(policy, reason):
 
 def test_leverage():
     plan = {0: [Decision("buy", "X", 150_000)]}
-    with pytest.raises(RiskHalt, match="leverage"):
+    with pytest.raises(RiskHalt, match="gross limit"):
         play(market([10, 10, 10], 1e9), plan, frictionless(on_leverage="halt"), 3)
     x = play(market([10, 10, 10], 1e9), plan, frictionless(on_leverage="reject"), 3)
-    assert not fills(x) and "rejected" in of(x, "dropped")[0][1]["reason"]
+    assert not fills(x) and "refused" in of(x, "dropped")[0][1]["reason"]
     assert fills(play(market([10, 10, 10], 1e9), plan, reg_t(**{k: v for k, v in vars(frictionless()).items() if k not in ("max_gross", "on_leverage", "on_margin_call")}), 3)) == [(1, 150_000, 10)]
     costs = play(market([10, 10, 10], 1e9), {0: [Decision("target_weight", "X", 1.0)]}, frictionless(commission_per_share=0.01, on_leverage="halt"), 3)
     assert fills(costs) == [(1, 100_000, 10)] and costs.cash == -1000  # costs alone are not leverage
@@ -127,14 +127,14 @@ def test_leverage():
 def test_margin_call_and_ruin():
     plan = {0: [Decision("buy", "X", 190_000)]}
     closes = [10, 10, 5.7, 5.7, 5.7]
-    with pytest.raises(RiskHalt, match="margin call"):
+    with pytest.raises(RiskHalt, match="maintenance missed"):
         play(market(closes, 1e9), plan, frictionless(on_margin_call="halt"), 5)
     x = play(market(closes, 1e9), plan, frictionless(on_margin_call="liquidate"), 5)
     i, qty, p = fills(x)[1]
     equity, gross = 1e6 - 190_000 * 4.3, 190_000 * 5.7
     assert (i, p) == (2, 5.7) and qty == math.floor(-190_000 * (1 - equity / (0.25 * gross))) and of(x, "fill")[1][1]["forced"]
     ruined = {0: [Decision("buy", "X", 190_000)], 2: [Decision("buy", "X", 1)]}
-    with pytest.raises(RiskHalt, match="ruin"):
+    with pytest.raises(RiskHalt, match="wiped out"):
         play(market([10, 10, 4, 4, 4], 1e9), ruined, frictionless(on_ruin="halt"), 5)
 
 
@@ -147,7 +147,7 @@ def test_funding_and_borrow():
     assert fills(x) == [(1, -100, 10)]
     assert math.isclose(x.totals["borrow_fees"], 2 * 1000 * 0.0365 * day) and math.isclose(x.totals["short_rebate"], 2 * 1000 * 0.01 * day)
     x = play(market([10, 10, 10], 100.0), {0: [Decision("short", "X", 10)]}, cfg, 3)
-    assert not fills(x) and "not shortable" in of(x, "dropped")[0][1]["reason"]
+    assert not fills(x) and "to borrow" in of(x, "dropped")[0][1]["reason"]
 
 
 BARS = [(10, 11, 9, 10), (10, 12, 10, 11), (13, 14, 12, 13), (9, 10, 8, 9), (9, 9, 9, 9)]
@@ -172,7 +172,7 @@ BARS = [(10, 11, 9, 10), (10, 12, 10, 11), (13, 14, 12, 13), (9, 10, 8, 9), (9,
 def test_order_types(d, want):
     x = play(market([], ohlc=BARS), {0: [d]}, frictionless(), 5)
     got = fills(x)
-    assert (got[0][0], got[0][2]) == want if want else not got and "expired" in of(x, "dropped")[0][1]["reason"]
+    assert (got[0][0], got[0][2]) == want if want else not got and "not reached in time" in of(x, "dropped")[0][1]["reason"]
 
 
 def test_open_to_close_orders_are_flat_at_the_close():
@@ -224,7 +224,7 @@ def test_liquidation_without_a_price_uses_the_last_one():
     x = play(market([10, 10, None, 10]), {0: [Decision("buy", "X", 5)], 1: [Decision("sell", "X", 5)]}, frictionless(), 4)
     assert fills(x) == [(1, 5, 10), (2, -5, 10)] and of(x, "fill")[1][1]["at_last_price"]
     x = play(market([10, None, 10]), {0: [Decision("buy", "X", 5)]}, frictionless(), 3)
-    assert not fills(x) and "no price" in of(x, "dropped")[0][1]["reason"]
+    assert not fills(x) and "no quote" in of(x, "dropped")[0][1]["reason"]
 
 
 def test_checkpoint_round_trip():

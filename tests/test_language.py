@@ -84,7 +84,7 @@ NEGATIVE = {
     "negation cycle": ("S", CLEAN + "rel b(-A: Equity, @T: Timestamp) rel c(-A: Equity, @T: Timestamp) b(A, T) :- universe(A, T), not c(A, T). c(A, T) :- universe(A, T), not b(A, T)."),
     "unordered top": ("D", CLEAN + "decide(T, target_weight(A, 0)) :- top(3, universe(A, T))."),
     "top without identity": ("D", CLEAN + "rel c(-A: Equity, @T: Timestamp, -P: Price<USD>) c(A, T, P) :- universe(A, T), close(A, T, P). decide(T, target_weight(A, 0)) :- top(3, c(A, T, P), by (P desc))."),
-    "first outside resample": ("D", CLEAN + "rel b(-A: Equity, @T: Timestamp, -P: Price<USD>) b(A, T, P) :- universe(A, T), P = first(Q) over (U in window(T, 5d, min 1), close(A, U, Q))."),
+    "first outside resample": ("D", CLEAN + "rel b(-A: Equity, @T: Timestamp, -P: Price<USD>) b(A, T, P) :- universe(A, T), P = last(Q) over (universe(A, T), close(_, T, Q))."),
     "no decision": ("Z", "rel b(-A: Equity, @T: Timestamp) b(A, T) :- universe(A, T)."),
     "wrong constructor": ("C", CLEAN + "decide(T, buy(A, 5 shares)) :- universe(A, T)."),
     "mixed resolutions": ("X", CLEAN + "rel b(-A: Equity, @T: Timestamp) b(A, T) :- universe(A, T), minute(A, T, P), P > 1 USD/share."),
@@ -138,3 +138,21 @@ def test_completeness_strata_and_freedom():
     assert degrees_of_freedom(p) == 2
     g = {x["relation"]: x for x in graph(p)}
     assert g["decide"]["closed_loop"] and g["decide"]["depth"] > g["t"]["depth"] and "t [derived @1d] <- c" in show(p)
+
+
+def test_printed_rules_parse_to_the_same_tree():
+    from ruletide.dsl import printer
+    from ruletide.plans.library import unit
+
+    for name in LIBRARIES:
+        made = unit(name, "e")
+        back = parse(printer.library(made))[0]
+        assert (back.name, back.env, back.res, back.signatures, back.rules) == (made.name, made.env, made.res, made.signatures, made.rules)
+    text = """library l { env e resolution @1d
+      rel r(+A: Equity, @T: Timestamp, -X: Scalar) @1h rel k(-A: Equity, @T: Timestamp, -K: Scalar)
+      r(A, T, X) :- close(A, T, P), not split(A, T, _), X = -(P - 2) / (3 - (P - 1)) * log(P + 1), tag(A, T0, "a b") asof T, X >= 0.5.
+      k(A, T, K) :- rank(r(A, T, X), by (X desc, A asc), ties average, as K), M = quantile(Y, 0.5) over (U in rows(T, 5, min 2), r(A, U, Y)).
+      k(A, T, 1) :- top(3, r(A, T, X), by (X desc)), resample(r(A, U, Q) to @1d as T, min 2, O = first(Q), N = count(U)). }"""
+    tree = parse(text)[0]
+    again = parse(printer.library(tree))[0]
+    assert again.signatures == tree.signatures and again.rules == tree.rules
