@@ -243,17 +243,27 @@ def _(spark, d):
     return metrics.curve_metrics(_curves(spark, d), "k", "t", "e", 12.0).where("n > 1").select("k", "autocorrelation_1", "skew", "kurtosis")
 
 
-@register("mt_pbo")
+_PBO = f"""{_RETURNS},
+m AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM r WHERE r IS NOT NULL)), n AS (SELECT count(*) // 16 AS block FROM m),
+b AS (SELECT m.i // block AS b, k.k, sum(coalesce(r.r, 0)) AS s1, sum(coalesce(r.r, 0) ** 2) AS s2 FROM m, n, (SELECT DISTINCT k FROM r) k LEFT JOIN r ON r.k = k.k AND r.t = m.t WHERE m.i < 16 * block GROUP BY 1, 2),
+h AS (SELECT c, k, sum(s1) FILTER (c >> b & 1 = 1) AS a1, sum(s2) FILTER (c >> b & 1 = 1) AS a2, sum(s1) FILTER (c >> b & 1 = 0) AS b1, sum(s2) FILTER (c >> b & 1 = 0) AS b2 FROM (SELECT range AS c FROM range(65536) WHERE bit_count(range) = 8), b GROUP BY 1, 2),
+z AS (SELECT c, k, 8 * block AS n, a1, b1, greatest(0, (a2 - a1 ** 2 / (8 * block)) / (8 * block - 1)) AS va, greatest(0, (b2 - b1 ** 2 / (8 * block)) / (8 * block - 1)) AS vb FROM h, n),
+e AS (SELECT c, k, CASE WHEN va > 0 THEN a1 / n / sqrt(va) ELSE 0 END AS inside, CASE WHEN vb > 0 THEN b1 / n / sqrt(vb) ELSE 0 END AS outside FROM z),
+p AS (SELECT c, arg_max(outside, inside) AS got FROM e GROUP BY 1),
+o AS (SELECT e.c, (1 + count(*) FILTER (outside < got)) / (count(*) + 1.0::DOUBLE) AS w, count(*) AS trials FROM e JOIN p ON e.c = p.c GROUP BY 1)
+SELECT avg((w <= 0.5)::INT) AS pbo, count(*) AS combinations, any_value(trials) AS trials, 16::BIGINT AS partitions, avg(ln(w / (1 - w))) AS mean_logit FROM o"""
+
+
+@register("mt_pbo", _PBO, ("pbo", "mean_logit"), "pbo combinations trials partitions mean_logit")
 def _(spark, d):
-    """Overfitting of choosing one nation's curve, from the returns that all nations share."""
+    """Overfitting of choosing one nation's curve; a month without a return counts as none, so no curve is left out."""
     r = F.expr("e / lag(e) OVER (PARTITION BY k ORDER BY t) - 1")
     rows = _curves(spark, d).select(F.lit(1).alias("g"), "k", "t", r.alias("r")).where("r IS NOT NULL")
 
     def one(pdf):
         import pandas as pd
 
-        table = pdf.pivot(index="t", columns="k", values="r").dropna(axis=1).sort_index().to_numpy()
-        p = metrics.pbo(table, 16) or metrics.pbo(table, 8)
+        p = metrics.pbo(pdf.pivot(index="t", columns="k", values="r").fillna(0.0).sort_index().to_numpy(), 16)
         return pd.DataFrame([vars(p)] if p else [], columns=["pbo", "combinations", "trials", "partitions", "mean_logit"])
 
     # one row for each month and nation: a study's returns, not its data
@@ -336,7 +346,7 @@ _FOLD = """strategy s { env market_1m resolution @1h mode delta
   decide(T, buy(A, 1 shares)) :- up(A, T, N), N >= 3. }"""
 
 
-@register("stream_fold")
+@register("stream_fold", minute("SELECT time_bucket(INTERVAL '1 hour', t - INTERVAL '1 microsecond') + INTERVAL '1 hour' AS t, a AS equity, 1.0::DOUBLE AS amount FROM tick GROUP BY 1, 2 HAVING count(*) >= 3"), ("amount",), "t equity amount")
 def _(spark, d):
     """Hourly decisions over the minute ticks of all users, by the streaming fold."""
     text = dt.ENV_1M + _FOLD
