@@ -176,8 +176,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, fraction: float | None = None, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns; each text is weighed once and written beside its weight, so none
-    is shuffled."""
+    """The rows of docs that are drawn, with all their columns; they are weighed a second time instead of being written beside
+    their weights or joined, so no text is written or shuffled."""
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = weigh(docs, model(docs, labels, id_col, text_col), id_col, text_col, temperature, seed).select("row", "key", "tie").checkpoint()
-    return rows.where(draw(rows, labels, k, fraction)).select("row.*")
+    rows = weigh(docs, model(docs, labels, id_col, text_col), id_col, text_col, temperature, seed)
+    return rows.where(draw(rows.select("key", "tie").checkpoint(), labels, k, fraction)).select("row.*")
