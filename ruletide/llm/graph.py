@@ -23,7 +23,7 @@ def _star(edges: DataFrame, largest: bool) -> DataFrame:
     return out.where(F.col("a") > F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link; root is the least node of its component.
 
     edges: columns a, b of one comparable type, in any order, repeats allowed. Alternates large and small star steps until
@@ -32,14 +32,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct().checkpoint()
     sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = sign(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:  # each round but the last joins stars, so their number of rounds is logarithmic
         now = _star(_star(now, True), False).checkpoint()
         after = sign(now)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

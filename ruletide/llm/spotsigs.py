@@ -5,6 +5,10 @@ the set of its signatures. Texts of the same signature set share a fingerprint.
 Matching deals the sets to partitions by their size, so that only sizes within the threshold of each other meet, lets
 candidates meet on their rarest signatures alone, and leaves a pair as soon as the threshold is out of reach.
 
+The query needs each text's likeness to two given texts, its edited form and its successor, so it compares those sets in full;
+the partitioned, pruned comparison of all sets is `matches`. A fingerprint is the size of its set and a digest of it: equal
+fingerprints are equal sets, the likeness of different ones is that of the sets behind them.
+
 A text without a usable anchor is chained from each of its words; a text without words has the empty set, which is like
 another empty set (1.0) and unlike any other (0.0). Null counts as empty. Repeated rows and ids are fingerprinted one by one;
 other columns are ignored.
@@ -31,6 +35,7 @@ ANCHORS = (
 ).split()
 CHAIN = 3
 SKIP = 1
+PART_BYTES = 1 << 28  # of text that one task walks, on average
 _U = np.uint64
 
 
@@ -154,8 +159,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     tk.keep_batches_small(spark, 256)
-    known, n = anchor_hashes(anchors), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = anchor_hashes(anchors)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     placed, parts = _bucketed(thin, n)
     dealt = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "role", F.asc_nulls_first("id"), F.asc_nulls_first("text"))
     return dealt.mapInArrow(lambda it: _walk(known, chain, skip, it), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

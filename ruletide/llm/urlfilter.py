@@ -89,7 +89,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
     at = F.coalesce(_block(F.col("canon"), n_blocks), F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     met = rows.withColumn("block", at).join(F.broadcast(blocks) if n_blocks <= broadcast_blocks else blocks, "block", "left")
     hit = reduce(lambda x, y: x & y, (F.col(f"w{i}").bitwiseAND(w) == w for i, w in enumerate(_words(F.col("canon")))))
-    judged = met.select("id", "host", "path", "rule", "rule_verdict", "canon", F.coalesce(hit & F.col("canon").isNotNull(), F.lit(False)).alias("bloom_hit"))
+    judged = met.select("id", "host", "path", "rule", "rule_verdict", "canon", F.coalesce(hit & F.col("canon").isNotNull(), F.lit(False)).alias("bloom_hit")).checkpoint()
+    # judged once and read twice: only what the filter passes is dealt out to meet the list
     exact = judged.where("bloom_hit").join(names.withColumn("listed", F.lit(True)), "canon", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rest = judged.where("not bloom_hit").withColumn("listed", F.lit(False))
     both = exact.select(*rest.columns).union(rest)

@@ -57,11 +57,36 @@ def test_sharding_balance_and_hot_key(spark):
     assert len(sizes) == 10 and max(sizes) < 1.02 * min(sizes)
 
 
+def test_equal_texts_stay_in_one_shard(spark):
+    rng = random.Random(5)
+    rows = [(i, f"text {rng.randint(0, 1500)} " + "y" * 60) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    at, text = collections.defaultdict(set), dict(rows)
+    for r in got:
+        at[text[r["id"]]].add(r["shard"])
+    assert len(got) == len(rows) and all(len(s) == 1 for s in at.values())
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    """With a sample too thin to see them, a few ranges hold much: they are cut until no piece is over twice the mean."""
+    monkeypatch.setattr(sharding, "splitters", lambda cuts, heavy: [(0, -(1 << 63))])
+    rows = [(i, f"text {i}") for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    slots = collections.Counter((r["shard"], r["slot"]) for r in got)
+    assert len(got) == 4000 and max(slots.values()) == 1 and len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
 def test_splitters_split_heavy_keys_only():
-    cuts = sharding.splitters([(5, t, 1.0) for t in range(50)] + [(k, 0, 1.0) for k in range(10, 60)], 10)
+    cuts = sharding.quantiles([(5, t, 1.0) for t in range(50)] + [(k, 0, 1.0) for k in range(10, 60)], 10)
+    assert sharding._twice(cuts) == {5}
+    cuts = sharding.splitters(cuts, {5})
     assert (5, -(1 << 63)) in cuts and (6, -(1 << 63)) in cuts
     assert sum(k == 5 for k, _ in cuts) >= 4
     assert all(t == -(1 << 63) for k, t in cuts if k != 5)
+    assert sharding.splitters([(5, 1), (5, 2), (7, 3)], set()) == [(5, -(1 << 63)), (7, -(1 << 63))]
 
 
 # 2 quality
@@ -214,6 +239,13 @@ def test_urls(spark, blocks):
     assert false <= 40
 
 
+def test_urls_with_columns_of_the_operators_own_names(spark):
+    names = "host path rule canon block w0 listed verdict bloom_hit id"
+    pages = spark.createDataFrame([(i, u, *["x"] * 10) for i, u in enumerate(URLS)], f"page_id long, url string, {', '.join(n + ' string' for n in names.split())}")
+    plain, listed = pages.select("page_id", "url"), pages.where("page_id % 3 = 0")
+    assert tuples(urlfilter.judge_urls(pages, listed)) == tuples(urlfilter.judge_urls(plain, listed.select("url")))
+
+
 def test_urls_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     some = spark.createDataFrame([(1, "http://a.net/x"), (None, None)], "page_id long, url string")
