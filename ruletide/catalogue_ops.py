@@ -15,7 +15,7 @@ from ruletide.loop.run import Point, run
 from ruletide.operators import asof, recursion
 from ruletide.plans.library import library
 from ruletide.plans.program import link
-from ruletide.session import ensure_checkpoint_dir
+from ruletide.session import shared_folder
 from ruletide.sources import bundle, environment, ingest
 from ruletide.sources import driver_tables as dt
 from ruletide.streaming import fold
@@ -317,9 +317,7 @@ def _(spark, d):
 
 def _sink(spark: SparkSession) -> str:
     """A folder that all executors share: under the checkpoint folder of the session."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ruletide-checkpoints"
-    return os.path.join(base, f"stream-{uuid.uuid4()}")
+    return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4()}")
 
 
 def _drain(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+LOCAL_CHECKPOINTS = "/tmp/ruletide-checkpoints"
+
 
 def local_session(cores: int | str = "*", app: str = "ruletide", memory: str = "8g", shuffle: int = 8) -> SparkSession:
     """A local session with the settings that every query here expects (UTC, adaptive execution)."""
@@ -16,14 +23,41 @@ def local_session(cores: int | str = "*", app: str = "ruletide", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", "/tmp/ruletide-checkpoints")
+        .config("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session: they need not be started where it lies."""
+    context = spark.sparkContext
+    if getattr(context, "_ruletide_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="ruletide-"))  # the driver's own copy; Spark serves it to the executors
+    with zipfile.ZipFile(folder / "ruletide.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(folder / "ruletide.zip"))
+    context._ruletide_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Honour spark.checkpoint.dir; only where nothing is set (tests, notebooks) use a folder in /tmp."""
+    """Make a session ready: its checkpoint folder is the one it names in spark.checkpoint.dir, and its workers know this package.
+
+    Only a local session that names none (tests, notebooks) gets a folder in /tmp; on a cluster it would be lost with its
+    executor, so there it is an error.
+    """
+    ship(spark)
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/ruletide-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see, for tables that a query writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
