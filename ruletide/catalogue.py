@@ -158,4 +158,4 @@ rules("rec_ewm", "rel e(+A: Equity, @T: Timestamp, -X: Scalar) rel seen(+A: Equi
 
 rules("decide_momentum_top_n", "param n : Count = 3 param min_adv : Notional<USD> = 10_000 USD rel candidate(-A: Equity, @T: Timestamp, -M: Scalar) rel selected(-A: Equity, @T: Timestamp) rel n_selected(@T: Timestamp, -N: Count) candidate(A, T, M) :- universe(A, T), momentum(A, T, 6mo, 1mo, M), adv(A, T, 20d, 2, D), D >= min_adv. selected(A, T) :- bar(T), top(n, candidate(A, T, M), by (M desc, A asc)). n_selected(T, N) :- bar(T), N = count(A) over (selected(A, T)), N > 0. decide(T, target_weight(A, W)) :- selected(A, T), n_selected(T, N), W = 1 / N.", "decide", daily("l AS (SELECT b.t, max(x.t) FILTER (x.t <= b.t - INTERVAL 6 MONTH) AS t6, max(x.t) FILTER (x.t <= b.t - INTERVAL 1 MONTH) AS t1 FROM bars b JOIN bars x ON x.t <= b.t GROUP BY 1), m AS (SELECT u.a, u.t, y.p / x.p - 1 AS m FROM universe u JOIN l ON u.t = l.t JOIN close x ON x.a = u.a AND x.t = l.t6 JOIN close y ON y.a = u.a AND y.t = l.t1), pv AS (SELECT c.a, c.t, p * v AS x FROM close c JOIN volume v ON c.a = v.a AND c.t = v.t), d AS (SELECT a, t, avg(x) OVER f AS d, count(x) OVER f AS n FROM pv WINDOW f AS (PARTITION BY a ORDER BY t RANGE BETWEEN INTERVAL 20 DAY PRECEDING AND CURRENT ROW)), s AS (SELECT m.a, m.t FROM m JOIN d ON m.a = d.a AND m.t = d.t WHERE d.n >= 2 AND d.d >= 10000 QUALIFY row_number() OVER (PARTITION BY m.t ORDER BY m.m DESC, m.a) <= 3) SELECT t, 'target_weight' AS ctor, a AS equity, (1.0::DOUBLE / count(*) OVER (PARTITION BY t)) AS amount, 'market' AS order_kind FROM s"), uses=("features",), decide=True)
 
-from ruletide import catalogue_ops as _more, catalogue_runs as _runs  # noqa: E402,F401 - register the rest
+from ruletide import catalogue_ops as _more, catalogue_runs as _runs, catalogue_tables as _tables  # noqa: E402,F401 - register the rest

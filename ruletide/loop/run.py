@@ -20,7 +20,7 @@ from ruletide.loop.config import ExecConfig
 from ruletide.loop.executor import RiskHalt, SimExecutor
 from ruletide.loop.kernel import Kernel, needs
 from ruletide.loop.market import Market
-from ruletide.plans.compiler import Compiler, CompileError
+from ruletide.plans.compiler import Compiler, CompileError, spark_type
 from ruletide.plans.program import Program, link
 
 EVENTS = "run_id string, seq long, kind string, t timestamp_ntz, payload string"
@@ -32,6 +32,7 @@ SCHEMAS = {
     "nav": "equity_value double, cash double, gross double, net double, leverage double",
     "final": "summary string",
     "halt": "message string",
+    "ledger": "relation string, values array<string>",
 }
 #: Companion relations of an order type: prices it needs besides the close.
 _OHLC = {"moo": ("open",), "moo_moc": ("open",), "limit": ("open", "high", "low"), "stop": ("open", "high", "low")}
@@ -164,6 +165,15 @@ class RunResult:
         made = self.tagged.where(F.col("kind") == kind).select("run_id", "seq", "t", F.from_json("payload", SCHEMAS[kind]).alias("p"))
         return made.select("run_id", "seq", "t", "p.*")
 
+    def ledger(self, program: Program, name: str) -> DataFrame:
+        """The tuples of a relation at every bar of a run, with its columns and types."""
+        sig = program.relations[name].sig
+        rest = [a for k, a in enumerate(sig.args) if k != sig.key]
+        rows = self.table("ledger").where(F.col("relation") == name)
+        key = F.to_date("t") if sig.res == "1d" else F.col("t")
+        cols = {a.name: F.get("values", F.lit(i)).cast(spark_type(a.type, sig.res)) for i, a in enumerate(rest)} | {sig.args[sig.key].name: key}
+        return rows.select("run_id", *(cols[a.name].alias(a.name) for a in sig.args))
+
     def write(self, path: str, config: dict | None = None) -> None:
         """One Parquet folder for each table, and the settings as JSON."""
         for kind in ("decision", "fill", "dropped", "action", "nav", "final"):
@@ -172,9 +182,15 @@ class RunResult:
             self.tagged.sparkSession.createDataFrame([(json.dumps(config, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config.json")
 
 
-def run(spark: SparkSession, text: str | Program, facts: dict[str, DataFrame], points: list[Point] | None = None, goal: str | None = None, names: dict | None = None, contracts: dict | None = None) -> RunResult:
-    """Run a strategy at one or more points; a risk halt ends its run with a `halt` event."""
+def run(spark: SparkSession, text: str | Program, facts: dict[str, DataFrame], points: list[Point] | None = None, goal: str | None = None, names: dict | None = None, contracts: dict | None = None, ledger: tuple[str, ...] = ()) -> RunResult:
+    """Run a strategy at one or more points; a risk halt ends its run with a `halt` event.
+
+    ledger: relations that read the executor's feedback and that the decisions read, whose tuples at every bar are kept.
+    """
     program = link(text, goal) if isinstance(text, str) else text
+    odd = [n for n in ledger if n not in program.closed_loop() or n not in program.reachable("decide") or any(a.mode == "+" and a.type != "Equity" for a in program.relations[n].sig.args)]
+    if odd:
+        raise CompileError(f"no ledger of {', '.join(odd)}: it needs no run, takes inputs, or no decision reads it")
     points = points or [Point("run")]
     chosen = choose(program, names)
     data = reduce(lambda a, b: a.union(b), [run_input(spark, program, facts, p, chosen) for p in points])
@@ -188,10 +204,18 @@ def run(spark: SparkSession, text: str | Program, facts: dict[str, DataFrame], p
         lo, hi = point.config.start, point.config.end
         bars = [t for t in kernel.domains.get(program.goal.res, []) if (lo is None or t >= lo) and (hi is None or t <= hi)]
         try:
-            kernel.run(executor, bars)
+            kernel.run(executor, bars, ledger)
         except RiskHalt as halt:
             executor.events.append(("halt", executor.bars[-1] if executor.bars else 0, {"message": str(halt)}))
         return pd.DataFrame(events(executor, point.run_id), columns=["run_id", "seq", "kind", "t", "payload"])
 
     return RunResult(data.groupBy("run_id").applyInPandas(one, EVENTS))
 
+
+
+def write_ledger(spark: SparkSession, program: Program, facts: dict[str, DataFrame], names: list[str], path: str, result: RunResult, params: dict | None = None) -> None:
+    """One Parquet folder for each relation: its tuples at every bar. Those that need no run are computed from the facts."""
+    comp = Compiler(spark, program, facts, {k: value(v) for k, v in (params or {}).items()})
+    for name in names:
+        made = result.ledger(program, name) if name in program.closed_loop() else comp.relation(name)
+        made.write.mode("overwrite").parquet(f"{path}/{name}.parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,13 +135,20 @@ def membership(member: DataFrame, universe: DataFrame) -> DataFrame:
     return member.join(universe, ["A", "T"], "left_anti")
 
 
+def reviewed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The reviewed exceptions of a bundle; None where it has no such table. A table that cannot be read is an error."""
+    try:
+        return spark.read.parquet(f"{path}/exceptions.parquet")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def test(spark: SparkSession, env: Unit, path: str) -> dict[str, int]:
     """Run every test that the bundle has the relations for; marks the manifest tested if none finds a row."""
     facts, securities = read(spark, env, path, untested=True)
-    try:
-        exceptions = spark.read.parquet(f"{path}/exceptions.parquet")
-    except Exception:  # noqa: BLE001 - no reviewed exceptions
-        exceptions = None
+    exceptions = reviewed(spark, path)
     found = {"identity": identity_problems(securities).count()}
     if "close" in facts and "universe" in facts:
         found["bar labels"] = bar_labels(facts["close"], facts["universe"]).count()

@@ -349,3 +349,29 @@ def curve_metrics(nav: DataFrame, by: str, time: str, equity: str, per_year: flo
     rows = nav.select(F.col(by).cast("string").alias("k"), F.unix_seconds(F.col(time).cast("timestamp")).alias("t"), F.col(equity).cast("double").alias("e"))
     return rows.groupBy("k").applyInPandas(one, schema)
 
+
+
+def each_curve(nav: DataFrame, by: str, time: str, equity: str, measure, schema: str) -> DataFrame:
+    """measure(seconds, equity) -> rows, of every curve of a table; rows are tuples of the schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("t")
+        found = [(pdf["k"].iloc[0], *r) for r in measure(pdf["t"].to_numpy(), pdf["e"].to_numpy())]
+        return pd.DataFrame(found, columns=[by, *names])
+
+    rows = nav.select(F.col(by).cast("string").alias("k"), F.unix_seconds(F.col(time).cast("timestamp")).alias("t"), F.col(equity).cast("double").alias("e"))
+    return rows.groupBy("k").applyInPandas(one, f"`{by}` string, {schema}")
+
+
+def returns_table(nav: DataFrame, by: str, time: str, equity: str, base: float | None = None, by_day: bool = False) -> DataFrame:
+    """(by, t, r, profit): the period returns of every curve."""
+    made = each_curve(nav, by, time, equity, lambda t, e: list(zip(*(x.tolist() for x in period_returns(t, e, base, by_day)), strict=True)), "t long, r double, profit double")
+    return made.withColumn("t", F.timestamp_seconds("t").cast("timestamp_ntz"))
+
+
+def write_returns(nav: DataFrame, path: str, by: str = "run_id", time: str = "t", equity: str = "equity_value", base: float | None = None, by_day: bool = False) -> None:
+    """The period-returns file of runs."""
+    returns_table(nav, by, time, equity, base, by_day).write.mode("overwrite").parquet(path)

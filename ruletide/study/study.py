@@ -278,12 +278,20 @@ def similarity(a: Program, b: Program) -> float:
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def append(path: str, record: dict) -> None:
+def append(path: str, record: dict, spark: SparkSession | None = None) -> None:
+    """Add a record to a log: a file of the driver, or with a session a folder on storage that all runs share."""
+    line = json.dumps({"at": datetime.now(timezone.utc).isoformat(), **record}, default=str)
+    if spark is not None:
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
+        return
     with Path(path).open("a") as f:
-        f.write(json.dumps({"at": datetime.now(timezone.utc).isoformat(), **record}, default=str) + "\n")
+        f.write(line + "\n")
 
 
-def read_log(path: str) -> list[dict]:
+def read_log(path: str, spark: SparkSession | None = None) -> list[dict]:
+    """The records of a log in the order in which they were added."""
+    if spark is not None:
+        return sorted((json.loads(r["value"]) for r in spark.read.text(path).toLocalIterator()), key=lambda r: r["at"])
     return [json.loads(x) for x in Path(path).read_text().splitlines() if x] if Path(path).exists() else []
 
 
