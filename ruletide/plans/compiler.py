@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ruletide import session
 from ruletide.dsl.ast import CONSTRUCTORS, RESOLUTIONS, TEMPORAL, Aggregate, Atom, Call, Compare, Duration, Lit, Name, Rank, Resample, Rule, Signature, Top, Var, Wild, variables
 from ruletide.dsl.ast import Window as Frame
 from ruletide.functions import partial
@@ -155,7 +156,7 @@ class Compiler:
                     keys.append(self.facts[name].select(t if s.res == res else temporal.bucket(t, res)))
             if not keys:
                 raise CompileError(f"no relation has keys at @{res}")
-            self._domains[res] = temporal.domain(keys).persist()
+            self._domains[res] = session.keep(temporal.domain(keys))
         return self._domains[res]
 
     # relations
@@ -197,7 +198,7 @@ class Compiler:
                 raise CompileError(f"`{name}` has no rules")
             out = reduce(lambda a, b: a.unionByName(b), made).distinct()
         if rel.kind == "derived" and self._shared(name):
-            out = out.persist()  # solved once; what does not fit into memory goes to the executors' disks
+            out = session.keep(out)  # solved once; what does not fit into memory goes to the executors' disks
         self._relations[at] = out
         return out
 

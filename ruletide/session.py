@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CHECKPOINTS = "/tmp/ruletide-checkpoints"
 
@@ -57,6 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
 
 
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df kept in memory or on the executors' disks, as a query reads it several times; `release` lets go of all that is kept."""
+    _kept.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Let go of what earlier queries have kept; those still unread compute it again."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that all executors see, for tables that a query writes and reads again."""
     ensure_checkpoint_dir(spark)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruletide.operators.temporal import bucket
+from ruletide.session import keep
 
 ENV_1D = """
 environment market_1d {
@@ -37,7 +38,7 @@ def market_1d(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("A"), F.to_date("l_shipdate").alias("T"), "l_extendedprice", "l_quantity")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("A"), F.to_date("o_orderdate").alias("T"), F.col("o_orderstatus").alias("S"))
     # every relation of the market is a view of one table of bars, aggregated once and kept while a query reads it often
-    bars = items.groupBy("A", "T").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("P"), F.sum("l_quantity").alias("V")).persist()
+    bars = keep(items.groupBy("A", "T").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("P"), F.sum("l_quantity").alias("V")))
     close, volume = bars.select("A", "T", "P"), bars.select("A", "T", "V")
     nations = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     index = nations.select(F.col("s_suppkey").cast("string").alias("A"), F.col("r_name").alias("Idx"))
