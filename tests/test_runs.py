@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,7 +64,7 @@ def test_fold_equals_batch(spark, facts, text):
     assert [(k, x) for k, _, x in batch if k != "final"] == folded
     assert {k for k, *_ in batch} >= {"decision", "fill", "nav"} and len(snaps) == 3
     again = fold.Fold.restore(link(text), snaps[1], cfg)
-    rest = sorted(log, key=lambda e: (e[2], e[0]))[len(snaps[1]["log"]) :]
+    rest = sorted(log, key=lambda e: (e[2], e[0]))[snaps[1]["events"] :]
     for e in rest:
         again.feed(*e)
     again.finish()
@@ -71,6 +72,38 @@ def test_fold_equals_batch(spark, facts, text):
     assert [(k, t, x) for k, t, x in tail] == [(k, int(t.replace(tzinfo=dt.timezone.utc).timestamp()), x) for k, t, x in batch if k != "final"][-len(tail) :] and len(tail) > 20
 
 
+def test_pruned_state_is_bounded_and_gives_the_same_run(spark):
+    facts = Synthetic(3, 400, "2023-01-02").daily(spark)
+    for text, bounded in ((CROSS, True), (TARGETS, True), (TRAIL, False)):
+        log = [(r["rel"], r["t"], r["avail"], r["payload"]) for r in fold.event_log(link(text), facts).collect()]
+        cfg = frictionless(participation_cap=0.2, impact_coef=0.1, slippage_vol_mult=0.1)
+        whole, _ = fold.fold(text, log, cfg)
+        cut, snaps = fold.fold(text, log, cfg, snapshot_every=70, prune=True)
+        assert (fold.lookback(link(text)) is not None) == bounded
+        assert whole.drain() == cut.drain()
+        size = [len(s["facts"]) for s in snaps]
+        assert (size[-1] < 1.5 * size[1]) == bounded
+
+
+def test_an_idle_bar_closes_by_the_clock(spark, tmp_path):
+    """The last bar's end has passed and no event follows: its decision is made all the same."""
+    day = 86_400
+    text = ENV + "strategy s { env e resolution @1d mode delta decide(T, buy(A, 1 shares)) :- universe(A, T). }"
+    rows = [("run", "universe", d * day, d * day + day - 1, json.dumps({"c0": "X", "c1": d * day})) for d in (19_000, 19_001)]
+    rows += [("run", "close", d * day, d * day + day - 1, json.dumps({"c0": "X", "c1": d * day, "c2": 10.0})) for d in (19_000, 19_001)]
+    spark.createDataFrame(rows, fold.LOG).coalesce(1).write.parquet(f"{tmp_path}/in")
+    made = fold.stream(spark.readStream.schema(fold.LOG).parquet(f"{tmp_path}/in"), text, frictionless(), idle=1)
+    q = made.writeStream.format("memory").queryName("idle_bars").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if spark.sql("SELECT * FROM idle_bars WHERE kind = 'decision'").count() == 2:
+                break
+    finally:
+        q.stop()
+    assert [r["t"].date().isoformat() for r in spark.sql("SELECT t FROM idle_bars WHERE kind = 'decision' ORDER BY t").collect()] == ["2022-01-08", "2022-01-09"]
+
+
 def test_a_snapshot_belongs_to_its_program(facts):
     f = fold.Fold(link(CROSS))
     with pytest.raises(ValueError):
