@@ -22,6 +22,11 @@ rules("exp_time_copy", "rel r(-A: Equity, @T: Timestamp, -E: Timestamp) r(A, T,
 rules("rs_bound_label", "rel r(+A: Equity, @T: Timestamp, -N: Count) r(A, T, N) :- high_d(A, T, H), H >= 400 USD/share, resample(tick(A, U, P) to @1d as T, min 1, N = count(U)).", "r", minute("SELECT a, CAST(t AS DATE) AS t, count(*) AS n FROM tick GROUP BY 1, 2 HAVING count(*) >= 3 AND max(p) >= 400"), env="1m1d", uses=("bars",))
 rules("rs_domain", "rel r(+A: Equity, @T: Timestamp, -U: Timestamp) r(A, T, U) :- close_d(A, T, _), prev(T, U).", "r", minute("d AS (SELECT t, lag(t) OVER (ORDER BY t) AS u FROM (SELECT DISTINCT CAST(t AS DATE) AS t FROM tick)), c AS (SELECT a, CAST(t AS DATE) AS t FROM tick GROUP BY 1, 2 HAVING count(*) >= 3) SELECT c.a, c.t, u FROM c JOIN d ON c.t = d.t WHERE u IS NOT NULL"), env="1m1d", uses=("bars",))
 rules("win_late_literal", "rel r(+A: Equity, @T: Timestamp, -M: Price<USD>) r(A, T, M) :- universe(A, T), M = mean(P) over (close(A, U, P), U in window(T, 15d, min 2)).", "r", daily("x AS (SELECT coalesce(u.a, c.a) AS a, coalesce(u.t, c.t) AS t, u.a IS NOT NULL AS base, c.p AS x FROM universe u FULL JOIN close c ON u.a = c.a AND u.t = c.t), w AS (SELECT a, t, base, avg(x) OVER f AS m, count(x) OVER f AS n FROM x WINDOW f AS (PARTITION BY a ORDER BY t RANGE BETWEEN INTERVAL 15 DAY PRECEDING AND CURRENT ROW)) SELECT a, t, m FROM w WHERE base AND n >= 2"))
+_LONG = "x AS (SELECT coalesce(u.a, c.a) AS a, coalesce(u.t, c.t) AS t, u.a IS NOT NULL AS base, c.p AS x, v.v AS y FROM universe u FULL JOIN (close c JOIN volume v ON c.a = v.a AND c.t = v.t) ON u.a = c.a AND u.t = c.t), w AS (SELECT a, t, base, avg(x) OVER f AS m, sum(y) OVER f AS v, stddev_samp(x) OVER f AS d, corr(x / 1000, y / 10) OVER f AS c, regr_slope(x / 1000, y / 10) OVER f AS b, covar_samp(x / 1000, y / 10) OVER f AS z, count(x) OVER f AS n FROM x WINDOW f AS (PARTITION BY a ORDER BY t"
+_LONG_RULE = "rel r(+A: Equity, @T: Timestamp, -M: Price<USD>, -V: Quantity<Shares>, -D: Price<USD>, -C: Scalar, -B: Scalar, -Z: Scalar, -N: Count) r(A, T, M, V, D, C, B, Z, N) :- universe(A, T), M = mean(P) over (U in {0}, close(A, U, P), volume(A, U, Q)), V = sum(Q) over (U in {0}, close(A, U, P), volume(A, U, Q)), D = std(P) over (U in {0}, close(A, U, P), volume(A, U, Q)), C = corr(P / 1000 USD/share, Q / 10 shares) over (U in {0}, close(A, U, P), volume(A, U, Q)), B = ols_beta(P / 1000 USD/share, Q / 10 shares) over (U in {0}, close(A, U, P), volume(A, U, Q)), Z = cov(P / 1000 USD/share, Q / 10 shares) over (U in {0}, close(A, U, P), volume(A, U, Q)), N = count(P) over (U in {0}, close(A, U, P), volume(A, U, Q))."
+rules("win_running_time", _LONG_RULE.format("window(T, 2y, min 12)"), "r", daily(f"{_LONG} RANGE BETWEEN INTERVAL 24 MONTH PRECEDING AND CURRENT ROW)) SELECT a, t, m, v, d, c, b, z, n FROM w WHERE base AND n >= 12"))
+rules("win_running_rows", _LONG_RULE.format("rows(T, 300, min 12)"), "r", daily(f"{_LONG} ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)) SELECT a, t, m, v, d, c, b, z, n FROM w WHERE base AND n >= 12"))
+rules("win_running_prior", "rel r(+A: Equity, @T: Timestamp, -M: Price<USD>, -D: Price<USD>) r(A, T, M, D) :- universe(A, T), M = mean(P) over (U in prior_window(T, 2y, min 3), close(A, U, P)), D = std(P) over (U in prior_window(T, 2y, min 3), close(A, U, P)).", "r", daily("x AS (SELECT coalesce(u.a, c.a) AS a, coalesce(u.t, c.t) AS t, u.a IS NOT NULL AS base, c.p AS x FROM universe u FULL JOIN close c ON u.a = c.a AND u.t = c.t), w AS (SELECT a, t, base, avg(x) OVER f AS m, stddev_samp(x) OVER f AS d, count(x) OVER f AS n FROM x WINDOW f AS (PARTITION BY a ORDER BY t RANGE BETWEEN INTERVAL 24 MONTH PRECEDING AND INTERVAL 1 DAY PRECEDING)) SELECT a, t, m, d FROM w WHERE base AND n >= 3"))
 
 
 @register("run_bought_within", _sql("s AS (SELECT a, t, row_number() OVER (PARTITION BY a ORDER BY t) AS k FROM sig), r AS (SELECT DISTINCT a, 0::BIGINT AS k, NULL::DATE AS last, false AS took FROM sig UNION ALL SELECT s.a, s.k, CASE WHEN last IS NULL OR last < s.t - INTERVAL 40 DAY THEN s.t ELSE last END, last IS NULL OR last < s.t - INTERVAL 40 DAY FROM r JOIN s ON s.a = r.a AND s.k = r.k + 1) SELECT s.t, s.a AS equity, 'buy' AS ctor, 10.0::DOUBLE AS amount FROM r JOIN s ON s.a = r.a AND s.k = r.k WHERE took"), ("amount",), "t equity ctor amount")

@@ -25,9 +25,9 @@ def value(x):
 class Engine:
     """Engine(spark, text, facts).relation("sma", N="20d", K=12): a relation with inputs fixed."""
 
-    def __init__(self, spark: SparkSession, text: str, facts: dict[str, DataFrame], goal: str | None = None, params: dict | None = None, strict: bool = False):
+    def __init__(self, spark: SparkSession, text: str, facts: dict[str, DataFrame], goal: str | None = None, params: dict | None = None, strict: bool = False, sums: str = "auto"):
         self.program: Program = link(text, goal)
-        self.compiler = Compiler(spark, self.program, facts, {k: value(v) for k, v in (params or {}).items()}, strict)
+        self.compiler = Compiler(spark, self.program, facts, {k: value(v) for k, v in (params or {}).items()}, strict, sums)
 
     def relation(self, name: str, **inputs) -> DataFrame:
         sig = self.program.relations[name].sig

@@ -2,6 +2,11 @@
 
 Base rows and value rows are laid into one table (a value row may stand on a bar where there is no base row, and still
 counts), shuffled once by the group, and aggregated by frames in which only value rows carry values.
+
+A frame is summed anew at each row, which is the cheapest for short ones. Sums, means, deviations, covariances, correlations and
+slopes over long frames are differences of running sums instead: a marker row stands where each frame begins, one running
+window passes over all rows, and the cost no longer depends on the length. The sums are of distances from the group's mean, so
+that little is lost in the difference; what remains of a deviation within their rounding is none.
 """
 
 from __future__ import annotations
@@ -24,13 +29,86 @@ def over(sql: str, frame: str) -> str:
     return f"try_divide({m[1]} OVER {frame}, {m[2]} OVER {frame} * {m[3]} OVER {frame})" if m else f"{sql} OVER {frame}"
 
 
-def frame_aggregate(base: DataFrame, values: DataFrame, by: list[str], time: str, kind: str, length: Duration | int, aggregates: dict[str, str], least: int = 0, instant: str = "DAY", bars: DataFrame | None = None) -> DataFrame:
+_ONE = re.compile(r"(count|sum|avg|stddev_samp)\((\w+)\)")
+_TWO = re.compile(r"(covar_samp|regr_slope)\((\w+), (\w+)\)")
+_CORR = re.compile(r"try_divide\(covar_pop\((\w+), (\w+)\), .*\)")
+
+
+def sums_of(sql: str) -> tuple[str, str, str | None] | None:
+    """(function, column, other column) of an aggregate that running sums can give; None for any other."""
+    if m := _ONE.fullmatch(sql):
+        return m[1], m[2], None
+    if m := _TWO.fullmatch(sql):
+        return m[1], m[2], m[3]
+    if m := _CORR.fullmatch(sql):
+        return "corr", m[1], m[2]
+    return None
+
+
+def _running(rows: DataFrame, by: list[str], time: str, order: str, lower: str, plans: dict[str, tuple]) -> DataFrame:
+    """(by, time, __n, aggregates) for each base row of rows (`__kind` 1), by differences of running sums.
+
+    order: SQL of what frames are over; lower: that of a frame's first value, inclusive.
+    """
+    part = f"PARTITION BY {_cols(by)}"
+    inputs = sorted({c for _, x, y in plans.values() for c in (x, y) if c and c != "__one"})
+    flat = rows.select(*by, time, "__kind", "__one", F.expr(order).alias("__o"), F.expr(lower).alias("__lo"), *(F.expr(f"`{c}` - avg(`{c}`) OVER ({part})").alias(c) for c in inputs))
+    marks = F.expr("CASE WHEN __kind = 1 THEN array(struct(1 AS k, __o AS o), struct(-1 AS k, __lo AS o)) ELSE array(struct(0 AS k, __o AS o)) END")
+    flat = flat.withColumn("__m", F.explode(marks)).where("__kind <> 2")
+    moments = {"n:__one": "__one"}
+    for _, x, y in plans.values():
+        for c in (x, y) if y else (x,):
+            other = (y if c == x else x) if y else None
+            own = f"`{c}`" if other is None else f"CASE WHEN `{other}` IS NOT NULL THEN `{c}` END"
+            tag = c if other is None else f"{c}|{other}"
+            moments |= {f"n:{tag}": f"CASE WHEN {own} IS NOT NULL THEN 1 END", f"s:{tag}": own, f"q:{tag}": f"({own}) * ({own})"}
+        if y:
+            moments[f"p:{x}|{y}"] = f"`{x}` * `{y}`"
+    names = {m: f"__s{i}" for i, m in enumerate(moments)}
+    window = f"({part} ORDER BY __m.o, __m.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    run = flat.select(*by, time, F.col("__m.k").alias("__k"), *(F.expr(f"coalesce(sum(CASE WHEN __m.k = 0 THEN {e} END) OVER {window}, 0)").alias(names[m]) for m, e in moments.items())).where("__k <> 0")
+    at = lambda m, k: f"max(CASE WHEN __k = {k} THEN {names[m]} END)"
+    out = run.groupBy(*by, time).agg(*(F.expr(f"{at(m, 1)} - {at(m, -1)}").alias(names[m]) for m in moments), *(F.expr(at(m, 1)).alias(f"{names[m]}_all") for m in moments if m[0] == "q"))
+    center = rows.groupBy(*by).agg(*(F.avg(c).alias(f"__c_{c}") for c in inputs)) if any(f in ("sum", "avg") and x != "__one" for f, x, _ in plans.values()) else None
+    if center is not None:
+        out = out.join(center, by)
+
+    def spread(tag: str) -> str:
+        """Sum of squared distances from the frame's own mean; none where it is within the rounding of the running sums."""
+        n, s, q = (names[f"{m}:{tag}"] for m in "nsq")
+        left = f"({q} - {s} * {s} / {n})"
+        return f"(CASE WHEN {n} = 0 OR {left} <= 1e-13D * {q}_all THEN 0D ELSE {left} END)"
+
+    cols = []
+    for name, (f, x, y) in plans.items():
+        tag = x if y is None else f"{x}|{y}"
+        n, s = names[f"n:{tag}"], names.get(f"s:{tag}")
+        if f == "count":
+            e = f"CAST({n} AS BIGINT)"
+        elif f == "sum":
+            e = f"CASE WHEN {n} > 0 THEN {s} + {n} * `__c_{x}` END"
+        elif f == "avg":
+            e = f"CASE WHEN {n} > 0 THEN {s} / {n} + `__c_{x}` END"
+        elif f == "stddev_samp":
+            e = f"CASE WHEN {n} > 1 THEN sqrt({spread(tag)} / ({n} - 1)) END"
+        else:
+            both = f"({names[f'p:{tag}']} - {s} * {names[f's:{y}|{x}']} / {n})"
+            over_x, over_y = spread(tag), spread(f"{y}|{x}")
+            e = {"covar_samp": f"CASE WHEN {n} > 1 THEN {both} / ({n} - 1) END", "regr_slope": f"CASE WHEN {n} > 1 THEN try_divide({both}, {over_y}) END", "corr": f"CASE WHEN {n} > 1 THEN try_divide({both}, sqrt({over_x}) * sqrt({over_y})) END"}[f]
+        cols.append(F.expr(e).alias(name))
+    return out.select(*by, time, F.expr(f"CAST({names['n:__one']} AS BIGINT)").alias("__n"), *cols)
+
+
+def frame_aggregate(base: DataFrame, values: DataFrame, by: list[str], time: str, kind: str, length: Duration | int, aggregates: dict[str, str], least: int = 0, instant: str = "DAY", bars: DataFrame | None = None, running: bool = False) -> DataFrame:
     """base with one column for each aggregate, over the frame that ends at its time.
 
     values: columns by, time and whatever the aggregates' SQL reads (also `__one`, 1 on a value row); kind: window,
     prior_window (without the end) or rows (the latest `length` bars with a value row, or a row of `bars`). Aggregates are
-    null where the frame has fewer than `least` value rows; `__n` counts them.
+    null where the frame has fewer than `least` value rows; `__n` counts them. running: by differences of running sums, if these
+    can give all the aggregates.
     """
+    plans = {a: sums_of(sql) for a, sql in aggregates.items()}
+    running = running and all(plans.values())
     if not by:
         base, values = base.withColumn("__all", F.lit(1)), values.withColumn("__all", F.lit(1))
         bars = bars.withColumn("__all", F.lit(1)) if bars is not None else None
@@ -50,6 +128,7 @@ def frame_aggregate(base: DataFrame, values: DataFrame, by: list[str], time: str
             mark = F.expr(f"CASE WHEN __kind = 0 AND row_number() OVER ({part}, `{time}`, __kind ORDER BY __kind) = 1 THEN 1 ELSE 0 END")
         rows = rows.withColumn("__mark", mark)
         rows = rows.withColumn("__ix", F.expr(f"sum(__mark) OVER ({part} ORDER BY `{time}` RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+        order, lower = "__ix", f"__ix - {int(length) - 1}"
         frame = f"({part} ORDER BY __ix RANGE BETWEEN {int(length) - 1} PRECEDING AND CURRENT ROW)"
     else:
         order = f"`{time}`"
@@ -57,7 +136,14 @@ def frame_aggregate(base: DataFrame, values: DataFrame, by: list[str], time: str
             half = "INTERVAL '12' HOUR" if instant == "DAY" else "INTERVAL '0.5' SECOND"
             rows = rows.withColumn("__t", F.expr(f"CAST(`{time}` AS TIMESTAMP_NTZ) + CASE WHEN __kind = 1 THEN INTERVAL '0' SECOND ELSE {half} END"))
             order = "__t"
+        lower = f"{order} - {length.sql()}"
         frame = f"({part} ORDER BY {order} RANGE BETWEEN {length.sql()} PRECEDING AND CURRENT ROW)"
+    if running:
+        once = rows.where("__kind <> 1").unionByName(rows.where("__kind = 1").dropDuplicates([*by, time])) if set(keep) - {*by, time} else rows
+        found = base.join(_running(once, by, time, order, lower, plans), [*by, time]).select(*keep, "__n", *aggregates)
+        if least > 0:
+            found = found.select(*keep, "__n", *(F.when(F.col("__n") >= least, F.col(a)).alias(a) for a in aggregates))
+        return found.drop(*extra)
     n = f"count(__one) OVER {frame}"
     found = rows.select(*rows.columns, F.expr(n).alias("__n"), *(F.expr(over(sql, frame)).alias(a) for a, sql in aggregates.items()))
     found = found.where("__kind = 1").select(*keep, "__n", *aggregates)

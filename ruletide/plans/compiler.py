@@ -27,6 +27,7 @@ from ruletide.operators.windows import frame_aggregate
 from ruletide.plans.program import Program, atoms, literal_of
 
 _SPARK_TYPES = {"Equity": "string", "Label": "string", "Count": "bigint", "Decision": None, "Duration": "string"}
+LONG_FRAME = 256  # bars
 ORDER_TYPE = "struct<kind:string,price:double,tif:string,n:bigint>"
 
 
@@ -59,8 +60,9 @@ class _Scope:
 class Compiler:
     """Compiles the relations of a program over DataFrames of its primitives (columns named as the arguments)."""
 
-    def __init__(self, spark: SparkSession, program: Program, facts: dict[str, DataFrame], params: dict | None = None, strict: bool = False):
-        self.spark, self.program, self.facts, self.strict = spark, program, facts, strict
+    def __init__(self, spark: SparkSession, program: Program, facts: dict[str, DataFrame], params: dict | None = None, strict: bool = False, sums: str = "auto"):
+        """sums: how sums over frames are made: exact (each frame anew), running (differences), auto (running over long frames)."""
+        self.spark, self.program, self.facts, self.strict, self.sums = spark, program, facts, strict, sums
         self.overrides = params or {}
         self._relations: dict = {}
         self._domains: dict[str, DataFrame] = {}
@@ -555,7 +557,7 @@ class Compiler:
             bars = marks.select(*group, scope.key).union(values.select(*group, scope.key))
         extra = {f"__g{i}": g for i, g in enumerate(guards) if g is not None}
         plain = sql | extra
-        out = frame_aggregate(scope.df, values, group, scope.key, frame.kind, length, plain, least, "DAY" if scope.res == "1d" else "SECOND", bars)
+        out = frame_aggregate(scope.df, values, group, scope.key, frame.kind, length, plain, least, "DAY" if scope.res == "1d" else "SECOND", bars, self._by_running_sums(frame.kind, length, scope.res))
         for i, v in enumerate(sql):
             lit = lits[i]
             if lit.func == "count":
@@ -566,6 +568,12 @@ class Compiler:
             out = out.where(F.col(f"`{v}`").isNotNull() & ~F.isnan(f"`{v}`"))
         scope.df = out.drop("__n", *extra)
 
+    def _by_running_sums(self, kind: str, length, res: str) -> bool:
+        if self.sums != "auto":
+            return self.sums == "running"
+        bars = length if kind == "rows" else length.approx * RESOLUTIONS["1d"] / RESOLUTIONS[res]
+        return bars > LONG_FRAME
+
     def _joined(self, lits, body, group, scope) -> None:
         """The general case: the conjunction is solved from each distinct base binding, windows being range conditions."""
         for g in group:
