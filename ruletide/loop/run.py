@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruletide.dsl.ast import RESOLUTIONS, Duration
+from ruletide.dsl.ast import RESOLUTIONS, Duration, Name
 from ruletide.engine import value
 from ruletide.loop.config import ExecConfig
 from ruletide.loop.executor import RiskHalt, SimExecutor
@@ -23,6 +23,7 @@ from ruletide.loop.market import Market
 from ruletide.plans.compiler import Compiler, CompileError, spark_type
 from ruletide.plans.program import Program, link
 
+_TEXT = ("Equity", "Label")
 EVENTS = "run_id string, seq long, kind string, t timestamp_ntz, payload string"
 SCHEMAS = {
     "decision": "equity string, ctor string, amount double, order string, rule string",
@@ -77,23 +78,54 @@ def choose(program: Program, config_names: dict | None = None) -> dict[str, str]
     return names
 
 
+#: Typed columns of one input tuple: strings and numbers in the order of its arguments.
+STRINGS, NUMBERS = 4, 6
+WIDE = [f"s{i}" for i in range(STRINGS)] + [f"d{i}" for i in range(NUMBERS)]
+
+
+def _wide(df: DataFrame, rel: str, t: F.Column, cells: list[tuple[F.Column, bool]]) -> DataFrame:
+    """(rel, t, s0.., d0..): one tuple a row; cells are (column, whether it is a string)."""
+    text, number = [c.cast("string") for c, is_text in cells if is_text], [c.cast("double") for c, is_text in cells if not is_text]
+    if len(text) > STRINGS or len(number) > NUMBERS:
+        raise CompileError(f"`{rel}` has more than {STRINGS} labels or {NUMBERS} numbers")
+    pad = lambda have, n, kind: have + [F.lit(None).cast(kind)] * (n - len(have))
+    cols = pad(text, STRINGS, "string") + pad(number, NUMBERS, "double")
+    return df.select(F.lit(rel).alias("rel"), t.alias("t"), *(c.alias(n) for c, n in zip(cols, WIDE, strict=True)))
+
+
 def _rows(df: DataFrame, rel: str, consts: tuple, sig) -> DataFrame:
-    """(rel, t, payload): one tuple as JSON, times in epoch seconds, constants left out."""
-    cols = []
+    """One tuple a row, times in epoch seconds, constants left out."""
+    cells = []
     for a, c in zip(sig.args, consts, strict=True):
         if c is None:
             x = F.col(f"`{a.name}`")
-            cols.append((_seconds(x) if a.type == "Timestamp" else x).alias(f"c{len(cols)}"))
-    key = F.col(f"`{sig.args[sig.key].name}`")
-    return df.select(F.lit(rel).alias("rel"), _seconds(key).alias("t"), F.to_json(F.struct(*cols)).alias("payload"))
+            cells.append((_seconds(x) if a.type == "Timestamp" else x, a.type in _TEXT))
+    return _wide(df, rel, _seconds(F.col(f"`{sig.args[sig.key].name}`")), cells)
+
+
+def _tuples(rows: pd.DataFrame, sig, consts: tuple):
+    """The tuples of one relation's rows."""
+    s = d = 0
+    cols = []
+    for a, c in zip(sig.args, consts, strict=True):
+        if c is not None:
+            cols.append([c] * len(rows))
+        elif a.type in _TEXT:
+            cols.append(rows[f"s{s}"].tolist())
+            s += 1
+        else:
+            x = rows[f"d{d}"]
+            cols.append(x.astype("int64").tolist() if a.type in ("Timestamp", "Count") else x.tolist())
+            d += 1
+    return zip(*cols, strict=True)
 
 
 def _const_key(consts: tuple) -> str:
     return json.dumps([[c.months, c.days] if isinstance(c, Duration) else c for c in consts])
 
 
-def run_input(spark: SparkSession, program: Program, facts: dict[str, DataFrame], point: Point, names: dict[str, str]) -> DataFrame:
-    """(run_id, rel, t, payload): everything one run reads."""
+def run_input(spark: SparkSession, program: Program, facts: dict[str, DataFrame], point: Point, names: dict[str, str], run_ids: list[str]) -> DataFrame:
+    """(run_id, rel, t, s0.., d0..): everything that runs read which share the point's inputs; computed once for all of them."""
     comp = Compiler(spark, program, facts, {k: value(v) for k, v in point.params.items()})
     parts = []
     for name, consts in needs(program, comp.overrides):
@@ -102,50 +134,71 @@ def run_input(spark: SparkSession, program: Program, facts: dict[str, DataFrame]
         sig = program.relations[rel].sig
         ent = next(a.name for a in sig.args if a.type == "Equity")
         out = [a.name for a in sig.args if a.mode == "-"][-1]
-        parts.append(comp.relation(rel).select(F.lit(f"m:{f}").alias("rel"), _seconds(F.col(sig.args[sig.key].name)).alias("t"), F.to_json(F.struct(F.col(ent).alias("c0"), F.col(out).cast("double").alias("c1"))).alias("payload")))
+        parts.append(_wide(comp.relation(rel), f"m:{f}", _seconds(F.col(sig.args[sig.key].name)), [(F.col(ent), True), (F.col(out), False)]))
     for action in ("split", "dividend", "delisted"):
         if action in facts and action in program.relations and program.relations[action].kind == "primitive":
             parts.append(_rows(comp.relation(action), f"a:{action}", (None,) * len(program.relations[action].sig.args), program.relations[action].sig))
     for res in {program.goal.res, *(program.relations[n].sig.res for n in program.reachable("decide") if program.relations[n].sig.res)}:
-        parts.append(comp.domain(res).select(F.lit(f"d:{res}").alias("rel"), _seconds(F.col("T")).alias("t"), F.lit("{}").alias("payload")))
-    return reduce(lambda a, b: a.union(b), parts).select(F.lit(point.run_id).alias("run_id"), "rel", "t", "payload")
-
-
-def load(pdf_rows, program: Program, point: Point, names: dict[str, str], contracts: dict | None) -> tuple[Kernel, Market, dict]:
+        parts.append(_wide(comp.domain(res), f"d:{res}", _seconds(F.col("T")), []))
+    ids = F.explode(F.array(*map(F.lit, run_ids))) if len(run_ids) > 1 else F.lit(run_ids[0])
+    return reduce(lambda a, b: a.union(b), parts).select(ids.alias("run_id"), "rel", "t", *WIDE)
+
+
+def shared(program: Program, points: list[Point]) -> list[list[Point]]:
+    """The points in groups that read the same input: those that differ in what only the feedback loop reads are one group."""
+    groups: dict[tuple, list[Point]] = {}
+    for p in points:
+        overrides = {k: value(v) for k, v in p.params.items()}
+        wanted = needs(program, overrides)
+        open_loop = {r for n, _ in wanted for r in program.reachable(n)}
+        read = {x.name for n in open_loop for rule in program.relations[n].rules for x in _names(rule)}
+        groups.setdefault((tuple((n, _const_key(c)) for n, c in wanted), tuple(sorted((k, str(v)) for k, v in overrides.items() if k in read))), []).append(p)
+    return list(groups.values())
+
+
+def _names(x):
+    if isinstance(x, Name):
+        yield x
+    elif isinstance(x, tuple):
+        for y in x:
+            yield from _names(y)
+    elif hasattr(x, "__dataclass_fields__"):
+        for f in x.__dataclass_fields__:
+            yield from _names(getattr(x, f))
+
+
+def load(rows: pd.DataFrame, program: Program, point: Point, names: dict[str, str], contracts: dict | None) -> tuple[Kernel, Market]:
     """The kernel and the market of a run from its input rows."""
-    overrides = {k: value(v) for k, v in point.params.items()}
-    kernel = Kernel(program, {}, overrides)
+    kernel = Kernel(program, {}, {k: value(v) for k, v in point.params.items()})
     finest = program.relations[names["price"]].sig.res
     market = Market(RESOLUTIONS[program.goal.res], RESOLUTIONS[finest], contracts)
     domains: dict[str, list[int]] = {}
-    for rel, t, payload in pdf_rows:
-        feed(kernel, market, domains, rel, t, payload)
-    kernel.domains = {k: sorted(set(v)) for k, v in domains.items()}
-    return kernel, market, domains
-
-
-def feed(kernel: Kernel, market: Market, domains: dict, rel: str, t: int, payload: str) -> None:
-    """Take one input row."""
-    kind, name = rel[:1], rel[2:]
-    if kind == "d":
-        domains.setdefault(name, []).append(t)
-        return
-    row = json.loads(payload)
-    c = [row.get(f"c{i}") for i in range(len(row))]
-    if kind == "m":
-        market.add(name, c[0], t, c[1])
-    elif kind == "r":
-        name, _, raw = name.partition(":")
-        consts = tuple(Duration(*x) if isinstance(x, list) else x for x in json.loads(raw))
-        it = iter(c)
-        kernel.store(name, consts).add(tuple(next(it) if k is None else k for k in consts))
-    elif name == "split":
-        market.splits[t].append((c[0], float(c[-1])))
-    elif name == "delisted":
-        market.delisted[t].append((c[0], str(c[-1])))
-    else:  # dividend(A, T, Ex, [Pay,] amount)
-        ex = c[2]
-        market.dividends[ex].append((c[0], c[3] if len(c) > 4 else ex, float(c[-1])))
+    for rel, part in rows.groupby("rel", sort=False):
+        kind, name = rel[:1], rel[2:]
+        if kind == "d":
+            domains[name] = sorted(part["t"].unique().tolist())
+        elif kind == "m":
+            for sym, own in part.groupby("s0", sort=False):
+                series = market.series[name][sym]
+                series.at.update(zip(own["t"].tolist(), own["d0"].tolist(), strict=True))
+                series._times = None
+        elif kind == "r":
+            name, _, raw = name.partition(":")
+            consts = tuple(Duration(*x) if isinstance(x, list) else x for x in json.loads(raw))
+            store = kernel.store(name, consts)
+            for tup in _tuples(part, program.relations[name].sig, consts):
+                store.add(tup)
+        else:
+            sig = program.relations[name].sig
+            for tup in _tuples(part, sig, (None,) * len(sig.args)):
+                if name == "split":
+                    market.splits[tup[sig.key]].append((tup[0], float(tup[-1])))
+                elif name == "delisted":
+                    market.delisted[tup[sig.key]].append((tup[0], str(tup[-1])))
+                else:  # dividend(A, T, Ex, [Pay,] amount)
+                    market.dividends[tup[2]].append((tup[0], tup[3] if len(tup) > 4 else tup[2], float(tup[-1])))
+    kernel.domains = domains
+    return kernel, market
 
 
 def events(executor: SimExecutor, run_id: str) -> list[tuple]:
@@ -193,12 +246,12 @@ def run(spark: SparkSession, text: str | Program, facts: dict[str, DataFrame], p
         raise CompileError(f"no ledger of {', '.join(odd)}: it needs no run, takes inputs, or no decision reads it")
     points = points or [Point("run")]
     chosen = choose(program, names)
-    data = reduce(lambda a, b: a.union(b), [run_input(spark, program, facts, p, chosen) for p in points])
+    data = reduce(lambda a, b: a.union(b), [run_input(spark, program, facts, group[0], chosen, [p.run_id for p in group]) for group in shared(program, points)])
     by_id = {p.run_id: p for p in points}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         point = by_id[pdf["run_id"].iloc[0]]
-        kernel, market, _ = load(pdf[["rel", "t", "payload"]].itertuples(index=False, name=None), program, point, chosen, contracts)
+        kernel, market = load(pdf, program, point, chosen, contracts)
         executor = SimExecutor(point.config, market)
         kernel.exec = executor
         lo, hi = point.config.start, point.config.end
