@@ -1,4 +1,4 @@
-"""The command line: check, show, query, explain, run, study, bundle, synth.
+"""The command line: check, show, query, explain, run, study, reveal, declare, dispute, lineages, bundle, bundle-test, synth.
 
 Exit codes: 0 success, 1 findings or a halted run, 2 wrong use.
 """
@@ -80,13 +80,36 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("relation")
         c.add_argument("--at")
         c.add_argument("--input", action="append", default=[])
-    command("run", True, True)
-    c = command("study", True, True)
-    c.add_argument("--axis", action="append", default=[], help="name=a,b,c or name=lo..hi/step")
-    c.add_argument("--target", default="sharpe")
-    c.add_argument("--holdout", default="none")
-    c.add_argument("--walk-forward")
-    c.add_argument("--log")
+    c = command("run", True, True)
+    c.add_argument("--nav", help="folder for the curve")
+    c.add_argument("--returns", help="folder for the period returns")
+    c.add_argument("--by-day", action="store_true", help="returns by civil day")
+    c.add_argument("--ledger", action="append", default=[], help="relation whose tuples at every bar are written below --out")
+    for name in ("study", "reveal"):
+        c = command(name, True, True)
+        c.add_argument("--axis", action="append", default=[], help="name=a,b,c or name=lo..hi/step")
+        c.add_argument("--target", default="sharpe")
+        c.add_argument("--holdout", default="none")
+        c.add_argument("--walk-forward")
+        c.add_argument("--log")
+        c.add_argument("--report", action="store_true", help="print the bias report instead of the figures")
+        if name == "reveal":
+            c.add_argument("--point", type=int, required=True, help="number of the grid point whose holdout is opened")
+    c = command("declare")
+    c.add_argument("--store", required=True)
+    c.add_argument("--note", default="")
+    c = sub.add_parser("dispute")
+    c.add_argument("program")
+    c.add_argument("--store", required=True)
+    c.add_argument("--reason", required=True)
+    c = sub.add_parser("lineages")
+    c.add_argument("--store", required=True)
+    c = command("bundle", True)
+    c.add_argument("out")
+    c.add_argument("--as-of", required=True)
+    c.add_argument("--securities", required=True, help="Parquet table of id, ticker, from, to")
+    c.add_argument("--source")
+    c.add_argument("--delay", type=int)
     c = sub.add_parser("synth")
     c.add_argument("kind", choices=["daily", "catalog", "minute"])
     c.add_argument("out")
@@ -105,6 +128,14 @@ def main(argv: list[str] | None = None) -> int:
 
         environment.write(getattr(Synthetic(a.symbols, a.days, seed=a.seed), a.kind)(local_session()), a.out)
         return 0
+    if a.command in ("dispute", "lineages"):
+        from ruletide.study.lineage import Lineages
+
+        store = Lineages(a.store)
+        if a.command == "dispute":
+            store.dispute(a.program, a.reason)
+        print(json.dumps({k: {**vars(x), "trials": x.trials, "variance": x.variance} for k, x in store.all().items()}, indent=1))
+        return 0
     text = _text(a.files)
     for spec in getattr(a, "library", []):
         name, _, env = spec.partition(":")
@@ -122,6 +153,11 @@ def main(argv: list[str] | None = None) -> int:
 
         print(show(program))
         return 0
+    if a.command == "declare":
+        from ruletide.study.lineage import Lineages
+
+        print(json.dumps(dict(zip(("lineage", "similarity"), Lineages(a.store).declare(program, a.note), strict=True))))
+        return 0
     from ruletide.session import local_session
 
     spark = local_session(getattr(a, "cores", "*"))
@@ -132,6 +168,14 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(found))
         return int(any(found.values()))
     facts = _facts(spark, program, a)
+    if a.command == "bundle":
+        from ruletide.sources import bundle
+
+        made = bundle.write(spark, program.env, facts, spark.read.parquet(a.securities), a.out, a.as_of)
+        if a.source or a.delay is not None:
+            made = bundle.annotate(spark, a.out, source=a.source, processing_delay=a.delay)
+        print(json.dumps(vars(made)))
+        return 0
     if a.command in ("query", "explain"):
         from ruletide.engine import Engine, value
         from ruletide.observe.explain import explain, query
@@ -145,11 +189,22 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     params = {k: float(v) if v.replace(".", "", 1).isdigit() else v for k, v in _pairs(a.param).items()}
     if a.command == "run":
-        from ruletide.loop.run import Point, run
+        from ruletide.loop.run import Point, RunResult, run, write_ledger
+        from ruletide.study import metrics
 
-        result = run(spark, program, facts, [Point("run", params, _config(a))])
+        if a.ledger and not a.out:
+            raise SystemExit("--ledger needs --out")
+        looped = tuple(n for n in a.ledger if n in program.closed_loop())
+        result = RunResult(run(spark, program, facts, [Point("run", params, _config(a))], ledger=looped).tagged.persist())
         if a.out:
             result.write(a.out, {"params": params, **_config(a).to_dict()})
+        if a.ledger:
+            write_ledger(spark, program, facts, a.ledger, f"{a.out}/ledger", result, params)
+        if a.nav:
+            result.table("nav").write.mode("overwrite").parquet(a.nav)
+        if a.returns:
+            base = None if _config(a).compounding else _config(a).initial_cash
+            metrics.write_returns(result.table("nav"), a.returns, base=base, by_day=a.by_day)
         print(result.table("final").first()["summary"])
         halt = result.table("halt").head()
         if halt is not None:
@@ -158,7 +213,17 @@ def main(argv: list[str] | None = None) -> int:
     from ruletide.study.study import Study, WalkForward, parse_axis
 
     study = Study(text, dict(map(parse_axis, a.axis)), a.target, holdout=a.holdout, walk=WalkForward.parse(a.walk_forward) if a.walk_forward else None, config=_config(a), log=a.log)
-    print(json.dumps(study.run(spark, facts), indent=1, default=str))
+    if a.command == "reveal":
+        print(json.dumps(study.reveal(spark, facts, a.point), indent=1, default=str))
+        return 0
+    found = study.run(spark, facts)
+    if a.report:
+        from ruletide.study.study import report
+
+        for group, bias, status in report(found, _config(a).warnings()):
+            print(f"{group:<12}{bias:<32}{status}")
+    else:
+        print(json.dumps(found, indent=1, default=str))
     return 0
 
 
