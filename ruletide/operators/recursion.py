@@ -13,8 +13,9 @@ def carry(rows: DataFrame, by: list[str], time: str, how: str, value: str, start
     """Rows (by, time, out): a value carried along each entity's chain.
 
     rows: `start` is true where a chain begins with `value`; elsewhere `value` joins the carried one by product, sum, max or
-    min. `before` holds the bar a step reads: the chain ends where the entity's previous row is not that bar (or, bridging
-    gaps, where there is no row at or before it). A step without a chain derives nothing.
+    min, or (copy) the chain's value is handed on. `before` holds the bar a step reads: the chain ends where the entity's
+    previous row is not that bar (or, bridging gaps, where there is no row at or before it). A step without a chain derives
+    nothing.
     """
     w = Window.partitionBy(*by).orderBy(time)
     last = F.lag(time).over(w)
@@ -23,7 +24,7 @@ def carry(rows: DataFrame, by: list[str], time: str, how: str, value: str, start
     rows = rows.withColumn("__new", begins).withColumn("__twice", last == F.col(time))
     rows = rows.withColumn("__seg", F.sum(F.col("__new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = Window.partitionBy(*by, "__seg").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    out = {"product": F.product, "sum": F.sum, "max": F.max, "min": F.min}[how](F.col(value)).over(s)
+    out = {"product": F.product, "sum": F.sum, "max": F.max, "min": F.min, "copy": lambda c: F.last(c, ignorenulls=True)}[how](F.col(value)).over(s)
     alive = F.first(start).over(s)
     guard = F.when(F.col("__twice"), F.raise_error(F.lit("a carried value has two tuples at one bar")).cast("double"))
     return rows.withColumn("__out", F.coalesce(guard, out.cast("double"))).withColumn("__alive", alive).where("__alive").select(*by, time, F.col("__out").alias("out"))

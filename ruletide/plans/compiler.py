@@ -661,26 +661,33 @@ class Compiler:
             self._stack.pop()
 
     def _carried(self, sig, ent, outs, key, init, parts, plans, n_init) -> DataFrame | None:
-        """One step rule that multiplies, adds to or compares the carried value: a window aggregate instead of a scan."""
+        """One step rule that hands on, multiplies, adds to or compares the carried value: a window aggregate instead of a scan."""
         if len(plans) != 1 or len(outs) != 1 or not ent:
             return None
         r, call, after, names, scope = plans[0]
         i = next(j for j, a in enumerate(sig.args) if a.name == outs[0].name)
         got, put = call.args[i], r.head.args[i]
-        if not isinstance(got, Var) or not isinstance(put, Var) or len(after) != 1 or after[0].op != "=" or after[0].left != put or not isinstance(after[0].right, Call):
+        if not isinstance(got, Var) or not isinstance(put, Var) or spark_type(outs[0].type, sig.res) != "double":
             return None
-        how = {"*": "product", "+": "sum", "greatest": "max", "least": "min"}.get(after[0].right.op)
-        args = after[0].right.args
-        if how is None or len(args) != 2 or (args[0] == got) == (args[1] == got):
-            return None
-        other = args[1] if args[0] == got else args[0]
-        if got.name in variables(other) or any(v not in names and v not in scope.consts for v in variables(other)):
-            return None
-        shadow = scope.child(scope.df)
-        value = self.column(other, shadow).cast("double")
+        if not after and got == put and got.name not in names:
+            how, value = "copy", F.lit(None).cast("double")
+        else:
+            if len(after) != 1 or after[0].op != "=" or after[0].left != put or not isinstance(after[0].right, Call):
+                return None
+            how = {"*": "product", "+": "sum", "greatest": "max", "least": "min"}.get(after[0].right.op)
+            args = after[0].right.args
+            if how is None or len(args) != 2 or (args[0] == got) == (args[1] == got):
+                return None
+            other = args[1] if args[0] == got else args[0]
+            if got.name in variables(other) or any(v not in names and v not in scope.consts for v in variables(other)):
+                return None
+            value = self.column(other, scope.child(scope.df)).cast("double")
         step = scope.df.select(*(F.col(f"`{r.head.args[j].name}`").alias(a.name) for j, a in enumerate(sig.args) if a.name in ent), F.col(f"`{r.head.args[sig.key].name}`").alias(key), F.col(f"`{(call.asof or call.args[sig.key]).name}`").alias("__at"), value.alias("__value"), F.lit(False).alias("__start"))
         starts = [p.select(*ent, key, F.lit(None).cast(step.schema["__at"].dataType).alias("__at"), F.col(f"__o_{outs[0].name}").cast("double").alias("__value"), F.lit(True).alias("__start")) for p in parts[:n_init]]
-        rows = reduce(lambda a, b: a.unionByName(b), [*starts, step])
+        begun = reduce(lambda a, b: a.unionByName(b), starts) if starts else None
+        if len(starts) > 1:  # two rules may derive one tuple
+            begun = begun.distinct()
+        rows = step if begun is None else begun.unionByName(step)
         out = carry(rows, ent, key, how, "__value", "__start", "__at", call.asof is not None)
         return out.withColumnRenamed("out", outs[0].name)
 
