@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ruletide.llm import textkit as tk
+from ruletide.llm.places import whole
 from ruletide.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 16
@@ -117,7 +118,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
                 key = pa.array(_sortable(score), mask=without)
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weight, mask=without), pa.array(score, mask=without), key, batch.column(2)], ["row", "weight", "score", "key", "tie"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"))
+    rows = docs.select(whole(docs).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"))
     schema = StructType([rows.schema["row"], StructField("weight", DoubleType()), StructField("score", DoubleType()), StructField("key", LongType()), StructField("tie", LongType())])
     return rows.mapInArrow(of, schema)
 

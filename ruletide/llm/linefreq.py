@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruletide.llm.places import placed
+from ruletide.llm.places import placed, whole
 from ruletide.session import ensure_checkpoint_dir
 
 #: On the sf0.1 documents ordinary lines stand on 4.8 % of a source's pages at most, the furniture line on 8.6 % or more.
@@ -73,7 +73,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     found = boilerplate(pages, host_col, text_col, ratio, min_pages).checkpoint()
     few = found.count() <= broadcast_lines
     docs, *place = (pages,) if few else placed(pages)
-    rows = docs.select(F.struct(*pages.columns).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), *([F.struct(F.xxhash64(place[0]).alias("part"), place[1].alias("at")).alias("place")] if place else []))
+    rows = docs.select(whole(pages).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), *([F.struct(F.xxhash64(place[0]).alias("part"), place[1].alias("at")).alias("place")] if place else []))
     lines, marks = _lines(F.col("text")), F.col("marks")
     xs = lambda m: F.transform(m, lambda e: e["x"])
     joined = _marked(rows, found, few)
@@ -90,5 +90,5 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
         return cut.select(row).select("row.*")
     n = count(lines)
     out = cut.select(row, n.alias("n"), F.when(F.col("kept").isNull(), F.lit(0).cast("long")).otherwise(n - count(F.col("kept"))).alias("gone"))
-    others = [F.col("row")[c].alias(c) for c in pages.columns if c not in counts]
+    others = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in counts]
     return out.select(*others, F.col("n").alias(counts[0]), F.col("gone").alias(counts[1]))

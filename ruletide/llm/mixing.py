@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruletide.llm.places import placed
+from ruletide.llm.places import placed, whole
 from ruletide.session import ensure_checkpoint_dir
 
 BLOCK_BYTES = 1 << 16
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     kept = ["__row"] if carry else []
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("__o"), F.xxhash64(part, at).alias("__p"), *([F.struct(*carry).alias("__row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("__o"), F.xxhash64(part, at).alias("__p"), *([whole(docs, carry).alias("__row")] if carry else []))
     rows = rows.withColumn("__s", _source_key(F.col("source"))).withColumn("__c", F.substring("__o", 1, CHUNKS_HEX)).withColumn("__u", F.lit(0).cast("long"))
     if not carry:
         rows = rows.checkpoint()  # thin rows; the texts are read once

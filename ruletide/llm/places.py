@@ -19,3 +19,8 @@ def placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
         docs, n = docs.checkpoint(), F.monotonically_increasing_id()
         return docs, F.shiftright(n, 33).cast("string"), n.bitwiseAND(F.lit((1 << 33) - 1))
     return docs, F.col("_metadata.file_path"), F.col("_metadata.row_index")
+
+
+def whole(docs: DataFrame, columns: list[str] | tuple[str, ...] | None = None) -> Column:
+    """All columns of a row (or those named) as one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)))

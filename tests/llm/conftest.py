@@ -5,7 +5,7 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-FOLLY = "shard string, fingerprint int, kept int, __h string, slot string, host string, id string, h int, n_lines string, n_dropped string, __row int, rule int, row string, text_ string, key int, place int, part int, before int"
+FOLLY = "shard string, fingerprint int, kept int, __h string, slot string, host string, id string, h int, n_lines string, n_dropped string, __row int, rule int, row string, text_ string, key int, place int, part int, before int, `a.b` string"
 
 
 def words(rng: random.Random, n: int, alphabet: str = "abcdefgh") -> list[str]:
@@ -45,7 +45,7 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def folly(spark, rows):
     """The same documents with extra columns whose names the operators use themselves."""
-    extra = tuple("x" if "string" in c else 7 for c in FOLLY.split(", "))
+    extra = tuple("x" if "string" in c else 7 for c in FOLLY.split(", "))  # one name holds a dot
     return spark.createDataFrame([r + extra for r in rows], f"{SCHEMA}, {FOLLY}").repartition(3).cache()
 
 
