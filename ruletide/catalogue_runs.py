@@ -91,7 +91,8 @@ outcome("run_stop", "decide(T, short(A, 10 shares, stop(L))) :- signal(A, T), cl
 outcome("run_limit_gtc", "decide(T, buy(A, 10 shares, limit(L, bars(3)))) :- signal(A, T), close(A, T, P), L = P * 0.7.", "x AS (SELECT s.a, s.t, s.t1, b.i, c.p * 0.7::DOUBLE AS l, lead(b.i) OVER (PARTITION BY s.a ORDER BY s.t) AS next FROM ord s JOIN rb b ON b.t = s.t JOIN close c ON c.a = s.a AND c.t = s.t), h AS (SELECT h.*, b.i FROM ohl h JOIN rb b ON b.t = h.t), y AS (SELECT x.a, x.t, x.l, h.t AS hit, h.o, row_number() OVER (PARTITION BY x.a, x.t ORDER BY h.t) AS n FROM x JOIN h ON h.a = x.a AND h.i > x.i AND h.i <= x.i + 3 AND (x.next IS NULL OR h.i <= x.next) AND (h.o <= x.l OR h.lo <= x.l)) SELECT hit AS t, a AS equity, 10.0::DOUBLE AS quantity, CASE WHEN o <= l THEN o ELSE l END AS price FROM y WHERE n = 1", BASIC, ("quantity", "price"), uses=("open", "high", "low"))
 # an order for the open waits one more bar where there was none
 outcome("run_moo", "decide(T, buy(A, 10 shares, moo)) :- signal(A, T).", "x AS (SELECT o.a, o.t1, z.t AS t2 FROM ord o LEFT JOIN rb z ON z.t0 = o.t1), y AS (SELECT x.a, CASE WHEN h.o IS NOT NULL THEN t1 ELSE t2 END AS t, coalesce(h.o, k.o) AS o FROM x LEFT JOIN ohl h ON h.a = x.a AND h.t = x.t1 LEFT JOIN ohl k ON k.a = x.a AND k.t = x.t2) SELECT t, a AS equity, 10.0::DOUBLE AS quantity, o AS price FROM y WHERE o IS NOT NULL", BASIC, ("quantity", "price"), uses=("open",))
-outcome("run_moc", "decide(T, buy(A, 10 shares, moc)) :- signal(A, T).", "SELECT s.t, s.a AS equity, 10.0::DOUBLE AS quantity, p AS price FROM sig s JOIN close c ON c.a = s.a AND c.t = s.t", BASIC, ("quantity", "price"))
+# orders of the last bar are dropped, as no bar follows at which they could be looked at
+outcome("run_moc", "decide(T, buy(A, 10 shares, moc)) :- signal(A, T).", "SELECT o.t, o.a AS equity, 10.0::DOUBLE AS quantity, p AS price FROM ord o JOIN close c ON c.a = o.a AND c.t = o.t", BASIC, ("quantity", "price"))
 
 # sizing
 
