@@ -28,6 +28,7 @@ MIN_REPEAT = 8
 MAX_COVERED = 0.4
 MAX_LONGEST = 0.15  # under half of MAX_COVERED, else it never decides: a repeat covers its own words
 SYMBOLS = "#*$%&|<>"
+DENSE = 1 << 21  # words up to which all ranks of a level are kept: 8 MB
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -36,10 +37,10 @@ SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines lo
 
 
 class Level:
-    """Ranks of the suffixes by their first 2^k tokens; kept only for those that shared their rank before, if they are few."""
+    """Ranks of the suffixes by their first 2^k tokens; of a long text only those that shared their rank before, if they are few."""
 
     def __init__(self, rank: np.ndarray, tied: np.ndarray | None = None):
-        self.at = None if tied is None or 4 * len(tied) > len(rank) else np.sort(tied).astype(np.int32)
+        self.at = None if tied is None or len(rank) < DENSE or 4 * len(tied) > len(rank) else np.sort(tied).astype(np.int32)
         self.rank = (rank if self.at is None else rank[self.at]).astype(np.int32)
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

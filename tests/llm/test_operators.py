@@ -411,7 +411,9 @@ def brute_maximal(text, least):
     return found
 
 
-def test_repeats_are_counted_maximal():
+@pytest.mark.parametrize("dense", [0, repetition.DENSE])
+def test_repeats_are_counted_maximal(monkeypatch, dense):
+    monkeypatch.setattr(repetition, "DENSE", dense)
     rng = random.Random(16)
     texts = [repetitive(rng) for _ in range(40)] + [" ".join(rng.choice("ab") for _ in range(60)) for _ in range(20)]
     part = " ".join(f"p{k}" for k in range(9))
@@ -470,7 +472,9 @@ def test_a_long_repeat_fails_alone(spark):
     assert not got[1]["kept"] and got[2]["kept"]
 
 
-def test_suffix_array_is_sorted():
+@pytest.mark.parametrize("dense", [0, repetition.DENSE])
+def test_suffix_array_is_sorted(monkeypatch, dense):
+    monkeypatch.setattr(repetition, "DENSE", dense)
     rng = np.random.default_rng(1)
     x = rng.integers(0, 3, 200)
     order, levels = repetition.suffix_array(x, 200 - np.arange(200))
