@@ -1,16 +1,16 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-Two texts link where the sets of their shingles of WORDS words are at least SIMILARITY alike. Candidates come from an
-overlapping rule: BANDS bands of ROWS MinHash values each; texts that agree on a whole band meet. A pair of similarity s
-meets with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99995 at 0.8, more above. Every link is then verified on the sets
-themselves, so nothing below SIMILARITY links.
-
-Texts with equal sets are one node. In each band's bucket all nodes are compared with the least node, then with the greatest:
-a group of near copies that those two join costs a star, not a square. What is left are buckets that still hold several
-components. In one of a few nodes their pairs are verified; a larger one is compared in a task that holds its sets as bit
-rows over the shingles they share, a row against all rows of other components at once, and emits the links that join two
-components. A bucket of more than SLICE nodes is cut into pairs of slices, each a task of its own, so no bucket has to fit
-into one task.
+Two texts link where the sets of their shingles of WORDS words are at least SIMILARITY alike. Candidates come from SimHash,
+compared bit-sliced: `simhash.near_links` joins sets whose fingerprints are close to groups, and a pair of similarity 0.8 or
+more is in one group but with a chance of 0.00005. Every link is then verified on the sets themselves, so nothing below
+SIMILARITY links.
+
+Texts with equal sets are one node; sets of fewer than four shingles are that much alike only if equal. In each group all
+nodes are compared with the least node, then with the greatest: a group of near copies that those two join costs a star, not a
+square. What is left are groups that still hold several components. In one of a few nodes their pairs are verified; a larger
+one is compared in a task that holds its sets as bit rows over the shingles they share, a row against all rows of other
+components at once, and emits the links that join two components. A group of more than SLICE nodes is cut into pairs of
+slices, each a task of its own, so no group has to fit into one task.
 
 Sets are those of 64-bit XXH64 values, lower-cased (A-Z), split at ASCII white space; a shorter text is one shingle; nulls and
 texts without a word are alike. The id may be of any type that has an order; repeated ids are rows each.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from ruletide.llm import simhash
 from ruletide.llm import textkit as tk
 from ruletide.llm.graph import components
 from ruletide.llm.places import placed
@@ -34,13 +35,11 @@ from ruletide.session import ensure_checkpoint_dir
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
-FEW = 4  # nodes of a bucket whose pairs are verified one by one
+LEAST = 4  # shingles of a set that can be SIMILARITY like another
+FEW = 4  # nodes of a group whose pairs are verified one by one
 SLICE = 512
 BROADCAST_ROWS = 150_000  # of about 60 bytes: 9 MB
 _U = np.uint64
-_DRAWN = np.random.RandomState(SEED).randint(0, 1 << 63, (2, BANDS * ROWS), dtype=np.int64).astype(_U)
-_FLIP, _TIMES = _DRAWN[0], _DRAWN[1] << _U(1) | _U(1)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,27 +58,15 @@ def node_numbers(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return tk.xxh64(h.view(np.uint8), 8 * edge[:-1], 8 * edge[1:], SEED)
 
 
-def band_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """(sets, BANDS): a value for each band of each set, with the band's number in it; any value for an empty set."""
-    full = np.flatnonzero(np.diff(edge))
-    row = np.zeros((len(edge) - 1, BANDS, ROWS + 1), _U)
-    row[:, :, ROWS] = np.arange(BANDS)
-    for k in range(BANDS * ROWS) if len(full) else ():
-        row[full, k // ROWS, k % ROWS] = np.minimum.reduceat((h ^ _FLIP[k]) * _TIMES[k], edge[full])
-    size = 8 * (ROWS + 1)
-    at = np.arange(row.shape[0] * BANDS) * size
-    return tk.xxh64(row.reshape(-1).view(np.uint8), at, at + size, SEED).reshape(-1, BANDS)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tk.slices(whole, "text", 1 << 20):
             h, edge = shingle_sets(batch.column(1))
             size = np.diff(edge)
-            keys = band_keys(h, edge)[size > 0].reshape(-1).view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))).astype(np.int32)
-            columns = [batch.column(0), pa.array(node_numbers(h, edge).view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "size", "keys"])
+            fp = simhash.wide_fingerprints(h, edge)
+            ends = np.arange(0, fp.size + 1, simhash.WIDE, dtype=np.int32)
+            columns = [batch.column(0), pa.array(node_numbers(h, edge).view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(fp.ravel().view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "size", "fp"])
 
 
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,17 +167,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs, part, at = placed(docs)
     key = F.struct(F.xxhash64(part), at) if key_col is None else F.col(key_col)
     texts = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
-    signed = StructType([texts.schema["row"], StructField("node", LongType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))])
+    signed = StructType([texts.schema["row"], StructField("node", LongType()), StructField("size", IntegerType()), StructField("fp", ArrayType(LongType()))])
     thin = texts.mapInArrow(_sign, signed).checkpoint()
-    nodes = thin.groupBy("node").agg(F.min("row.id").alias("least_id"), F.min("row.key").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
+    nodes = thin.groupBy("node").agg(F.min("row.id").alias("least_id"), F.min("row.key").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp")).checkpoint()
 
-    keyed = nodes.select(F.struct("node", "size").alias("m"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")).where("low.node < high.node")
-    members = keyed.join(shared, "key").checkpoint()
+    close = components(simhash.near_links(nodes.where(F.col("size") >= LEAST)))
+    grouped = close.union(close.select("root", "root").distinct()).join(nodes.select("node", "size"), "node").select(F.col("root").alias("key"), F.struct("node", "size").alias("m")).checkpoint()
+    members = grouped.join(grouped.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")), "key").checkpoint()
     within = lambda a, b: (F.col(f"{a}.size") >= F.col(f"{b}.size") * SIMILARITY) & (F.col(f"{b}.size") >= F.col(f"{a}.size") * SIMILARITY)
-    wanted = members.select(F.col("m.node").alias("node")).distinct()
     # the sets of one text for each node that meets another: its row is looked up by key, texts that meet none are not shuffled
-    chosen = nodes.join(wanted, "node").select("rep", "node").checkpoint()
+    chosen = nodes.join(members.select("m.node"), "node").select("rep", "node").checkpoint()
     few = chosen.count() <= BROADCAST_ROWS
     met = texts.join(F.broadcast(chosen) if few else chosen, F.col("row.key") == F.col("rep")).select("node", "text")
     sets = met.mapInArrow(_hold, "node long, set binary").checkpoint()
@@ -202,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return one.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long").checkpoint()
 
     def open_members(links: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components of the links, each with its own and the count of members."""
+        """The members of groups that hold several components of the links, each with its own and the count of members."""
         roots = components(links)
         own = members.join(roots, F.col("m.node") == F.col("node"), "left").select("key", "m", "high", F.coalesce("root", "m.node").alias("root"))
         several = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1").select("key", "n")

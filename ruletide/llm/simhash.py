@@ -11,12 +11,17 @@ each a task of its own, so no bucket has to fit into one task.
 
 Nulls and texts without a word have fingerprint zero and link like any other. A null id never becomes a component id unless
 the whole component has none. Other columns of the input are ignored.
+
+`near_links` is the same comparison at a wide radius, for sets of shingles that are 0.8 alike: 512 bits a set, and buckets by
+tables of drawn bits instead of block pairs (so many blocks would be a bit or two wide). An exact check has to follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,12 @@ from ruletide.llm.graph import components
 
 SEED = 42
 SLICE = 8192
+WIDE = 8  # 64-bit words of a wide fingerprint
+CARRIED = 3  # of its words that meet in a bucket
+NEAR_WORD, NEAR, NEAR_WIDE = 24, 55, 130  # differing bits allowed in the first word, in those carried, and in all
+#: The greatest chance that a bit differs between two sets 0.8 alike, over all sizes; and between sets of 4 and of 5, the only pair above it.
+DIFFER, DIFFER_FEW, FEW = 0.1612, 0.1875, 5
+MISSED = 5e-5
 _U = np.uint64
 
 
@@ -161,16 +172,23 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def star_links(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) of every component inside the runs of equal keys; singletons give nothing."""
+    member, root = stars(keys, values, radius, most)
+    return values[member], values[root]
+
+
+def stars(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1 << 17, more: list[np.ndarray] | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The places of what `star_links` returns. more: further words of each value; all words together may differ in total bits."""
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(keys)))
     start, size = start[size > 1], size[size > 1]
     if not len(start):
-        return np.zeros(0, _U), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n_words = -(-size // 64)
     first = np.concatenate(([0], np.cumsum(n_words)))
     owner = np.repeat(np.arange(len(start)), size)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    value = values[start[owner] + inside]
+    place = start[owner] + inside
+    value = values[place]
     lane = first[owner] * 64 + inside
     lanes, valid = np.zeros(first[-1] * 64, _U), np.zeros(first[-1] * 64, bool)
     lanes[lane], valid[lane] = value, True
@@ -181,43 +199,47 @@ def star_links(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1
     own = lane // 64
     meets = first[owner + 1] - own  # a query meets its own word and the later ones of its bucket
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.concatenate(([0], np.cumsum(meets)))
-    for lo in range(0, int(total[-1]), most):
-        hi = min(int(total[-1]), lo + most)
+    upto = np.concatenate(([0], np.cumsum(meets)))
+    for lo in range(0, int(upto[-1]), most):
+        hi = min(int(upto[-1]), lo + most)
         block = np.arange(lo, hi)
-        query = np.searchsorted(total, block, side="right") - 1
-        word = own[query] + (block - total[query])
+        query = np.searchsorted(upto, block, side="right") - 1
+        word = own[query] + (block - upto[query])
         left, near = within(planes, value[query], word, radius)
         near &= mask[word[left]]
         left, near = left[near != 0], near[near != 0]
         hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, col = np.nonzero(hit)
         x, y = query[left[row]], node[word[left[row]] * 64 + col]
-        a, b = np.concatenate((a, x[x < y])), np.concatenate((b, y[x < y]))
+        x, y = x[x < y], y[x < y]
+        if more is not None:
+            far = sum((np.bitwise_count(w[place[x]] ^ w[place[y]]) for w in more), np.bitwise_count(value[x] ^ value[y]).astype(np.int16))
+            x, y = x[far <= total], y[far <= total]
+        a, b = np.concatenate((a, x)), np.concatenate((b, y))
         if len(a) > 1 << 20:  # keep only a spanning star of what is known
             root = _roots(len(value), a, b)
             a = np.flatnonzero(root != np.arange(len(root)))
             b = root[a]
     root = _roots(len(value), a, b)
     member = np.flatnonzero(root != np.arange(len(root)))
-    return value[member], value[root[member]]
+    return place[member], place[root[member]]
 
 
-def _link(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The columns of longs as arrays (columns, rows) that hold whole runs of the first one."""
     held: list[np.ndarray] = []
     n = 0
 
-    def flush(last: bool):
+    def flush(last: bool) -> np.ndarray:
         nonlocal held, n
         rows = np.concatenate(held, axis=1)
         cut = rows.shape[1] if last else int(np.searchsorted(rows[0], rows[0, -1], side="left"))
-        a, b = star_links(rows[0, :cut], rows[1, :cut].view(_U), radius)
         held, n = [rows[:, cut:]], rows.shape[1] - cut
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        return rows[:, :cut]
 
     for batch in batches:
         if len(batch):
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]))
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
             n += len(batch)
             if n >= 100_000:
                 yield flush(False)
@@ -225,17 +247,108 @@ def _link(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield flush(True)
 
 
+def _link(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole_runs(batches):
+        a, b = star_links(rows[0], rows[1].view(_U), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
+def _cut(keyed: DataFrame, value: str) -> list[DataFrame]:
+    """The buckets of keyed; those of more than SLICE rows apart, as tiles of two slices each with keys of their own."""
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SLICE).checkpoint()
+    if not large.count():
+        return [keyed]
+    k = F.ceil(F.col("n") / SLICE).cast("int")
+    rest = [c for c in keyed.columns if c != "key"]
+    tiles = keyed.join(large, "key").select("key", *rest, F.pmod(F.xxhash64(value), k).cast("long").alias("s"), F.explode(F.sequence(F.lit(0), k - 1)).alias("t"))
+    tiles = tiles.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), *rest)
+    return [keyed.join(large, "key", "left_anti").select("key", *rest), tiles]
+
+
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Spanning links (a, b) between the distinct fingerprints `fp` of nodes that differ in radius bits at most."""
     keyed = nodes.select("fp", F.explode(F.array(*_keys(radius))).alias("key"))
     join = lambda df, *by: df.repartition(*by).sortWithinPartitions("key").mapInArrow(lambda it: _link(radius, it), "a long, b long")
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SLICE).checkpoint()
-    if not large.count():
-        return join(keyed.select("key", "fp"), "key")
-    k = F.ceil(F.col("n") / SLICE).cast("int")
-    tiles = keyed.join(large, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), k).cast("long").alias("s"), F.explode(F.sequence(F.lit(0), k - 1)).alias("t"))
-    tiles = tiles.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "fp")
-    return join(keyed.join(large, "key", "left_anti").select("key", "fp"), "key").union(join(tiles, "key"))
+    return reduce(DataFrame.union, [join(part, "key") for part in _cut(keyed.select("key", "fp"), "fp")])
+
+
+def wide_fingerprints(h: np.ndarray, edge: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """(sets, WIDE): the fingerprint of each set of hashes (back to back, n + 1 offsets); later words have the bits of remixed hashes."""
+    sets, size = len(edge) - 1, np.diff(edge)
+    doc, out = np.repeat(np.arange(sets), size), np.empty((sets, WIDE), _U)
+    for k in range(WIDE):
+        counts = np.zeros((sets, 64), np.int64)
+        for lo in range(0, len(h), block):
+            part = h[lo : lo + block]
+            counts += bit_counts(tk.mix(part + _U(k)) if k else part, doc[lo : lo + block], sets)
+        out[:, k] = np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view(_U).ravel()
+    return out
+
+
+def tables(width: int, differ: float, most: float = MISSED) -> int:
+    """How many tables of so many drawn bits it takes until a pair whose bits differ with that chance agrees on none but with chance `most`."""
+    n = 64 * WIDE
+    far = [comb(n, d) * differ**d * (1 - differ) ** (n - d) for d in range(n + 1)]
+    agree = [comb(n - d, width) / comb(n, width) for d in range(n + 1)]
+    count = 1
+    while sum(p * (1 - q) ** count for p, q in zip(far, agree, strict=True)) > most:
+        count += 1
+    return count
+
+
+def bucket_bits(nodes: int) -> int:
+    """Bits of a table, so that a bucket holds about 512 of the nodes."""
+    return max(9, round(log2(max(nodes, 1))) - 9)
+
+
+def drawn_bits(width: int, count: int) -> np.ndarray:
+    """(count, width): the bits of each table, cut from shuffles of all bits one after another."""
+    rng, per = np.random.RandomState(SEED), 64 * WIDE // width
+    return np.concatenate([rng.permutation(64 * WIDE)[: per * width].reshape(per, width) for _ in range(-(-count // per))])[:count]
+
+
+def _bands(width: int, count: int, more: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, words) for each of count tables; sets of FEW shingles or fewer are in more tables."""
+    drawn = drawn_bits(width, more)
+    for batch in batches:
+        node, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        fp = batch.column(2).flatten().to_numpy().reshape(-1, WIDE)
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+        for here, to in ((np.flatnonzero(size > FEW), count), (np.flatnonzero(size <= FEW), more)):
+            if not len(here):
+                continue
+            keys = bits[here][:, drawn[:to]].astype(np.int64) @ (1 << np.arange(width)) + (np.arange(to) << width)
+            again = np.repeat(here, to)
+            columns = [keys.ravel(), node[again], *(fp[again, k] for k in range(CARRIED))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", *(f"f{k}" for k in range(CARRIED))])
+
+
+def _link_near(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, node, *fp in _whole_runs(batches):
+        fp = [w.view(_U) for w in fp]
+        a, b = stars(key, fp[0], NEAR_WORD, 1 << 15, fp[1:], total)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+
+def _joined(keyed: DataFrame, total: int) -> DataFrame:
+    """Spanning links (a, b) of nodes of one key with close fingerprints; a star's hub is its least node, so buckets agree on it."""
+    join = lambda df: df.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _link_near(total, it), "a long, b long")
+    return reduce(DataFrame.union, [join(part) for part in _cut(keyed, "node")])
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between nodes with close wide fingerprints: two sets 0.8 alike or more get connected but with chance MISSED.
+
+    nodes: node (long, distinct), size and fp, the words of `wide_fingerprints`.
+    """
+    width = bucket_bits(nodes.count())
+    count, more = tables(width, DIFFER), tables(width, DIFFER_FEW)
+    schema = ", ".join(f"{c} long" for c in ("key", "node", *(f"f{k}" for k in range(CARRIED))))
+    keyed = nodes.select("node", "size", "fp").mapInArrow(lambda it: _bands(width, count, more, it), schema)
+    close = components(_joined(keyed, NEAR))
+    # few nodes are left: within their components all words are compared
+    own = close.union(close.select("root", "root").distinct()).join(nodes.select("node", "fp"), "node")
+    return _joined(own.select(F.col("root").alias("key"), "node", *(F.col("fp")[k].alias(f"f{k}") for k in range(WIDE))), NEAR_WIDE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from test_operators import words_of
 
-from ruletide.llm import jaccard
+from ruletide.llm import jaccard, simhash
 
 
 def brute_set(text):
@@ -120,3 +120,28 @@ def test_rows_of_one_id_and_of_none(spark, tmp_path):
     for docs in (plain, spark.read.parquet(f"{tmp_path}/docs")):
         kept = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
         assert sorted(r[5] for r in kept) in (["a", "b", "c"], ["a", "b", "d"]) and set(kept) <= set(rows)
+
+
+def test_candidates_are_those_of_simhash(spark, monkeypatch):
+    """Sets 0.8 alike or more have close fingerprints in a common table; without the links of SimHash no near copy is found."""
+    rng = random.Random(6)
+    w = [f"w{rng.random()}" for _ in range(90)]
+    texts = [" ".join(w), " ".join([*w[:40], "other", *w[41:]]), "a b c d e f g h", "a b c d e f g h i", " ".join(f"v{k}" for k in range(50))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 4]
+    found = []
+    monkeypatch.setattr(simhash, "near_links", lambda nodes: found.append(nodes) or spark.createDataFrame([], "a long, b long"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1, 2, 3, 4] and len(found) == 1
+
+
+def test_wide_fingerprints_and_tables():
+    texts = [*crowd(random.Random(2), 12), "a b c d e f", "one", None]
+    h, edge = jaccard.shingle_sets(pa.array(texts))
+    got = simhash.wide_fingerprints(h, edge, block=100)
+    for k, (a, b) in enumerate(zip(edge, edge[1:])):
+        values = h[a:b].tolist()
+        assert int(got[k, 0]) == sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in values) > len(values))
+    assert len({tuple(r) for r in got.tolist()}) == len({h[a:b].tobytes() for a, b in zip(edge, edge[1:])})
+    for width in (9, 12):
+        drawn = simhash.drawn_bits(width, simhash.tables(width, simhash.DIFFER))
+        assert all(len(set(t)) == width for t in drawn.tolist()) and drawn.max() < 512
