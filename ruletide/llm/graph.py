@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = sign(now)
     while before[0]:  # each round but the last joins stars, so their number of rounds is logarithmic
-        now = _star(_star(now, True), False).checkpoint()
+        now = _star(_star(now, True).checkpoint(), False).checkpoint()  # the small star reads the large one twice
         after = sign(now)
         if after == before:
             break

@@ -13,7 +13,9 @@ Nulls and texts without a word have fingerprint zero and link like any other. A
 the whole component has none. Other columns of the input are ignored.
 
 `near_links` is the same comparison at a wide radius, for sets of shingles that are 0.8 alike: 512 bits a set, and buckets by
-tables of drawn bits instead of block pairs (so many blocks would be a bit or two wide). An exact check has to follow.
+tables of drawn bits instead of block pairs (so many blocks would be a bit or two wide). Near copies meet in most tables, so
+the first few tables join most of a group; the others compare all the same, but emit links between components of those only,
+not one more link a table for every member. An exact check has to follow.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SEED = 42
 SLICE = 8192
 WIDE = 8  # 64-bit words of a wide fingerprint
 CARRIED = 3  # of its words that meet in a bucket
+FIRST = 4  # tables whose links are components before the other tables look for more
 NEAR_WORD, NEAR, NEAR_WIDE = 24, 55, 130  # differing bits allowed in the first word, in those carried, and in all
 #: The greatest chance that a bit differs between two sets 0.8 alike, over all sizes; and between sets of 4 and of 5, the only pair above it.
 DIFFER, DIFFER_FEW, FEW = 0.1612, 0.1875, 5
@@ -176,8 +179,11 @@ def star_links(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1
     return values[member], values[root]
 
 
-def stars(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1 << 17, more: list[np.ndarray] | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The places of what `star_links` returns. more: further words of each value; all words together may differ in total bits."""
+def stars(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1 << 17, more: list[np.ndarray] | None = None, total: int = 0, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of what `star_links` returns. more: further words of each value; all words together may differ in total bits.
+
+    label: what each value belongs to already; then spanning links between labels that differ, the least as root.
+    """
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(keys)))
     start, size = start[size > 1], size[size > 1]
@@ -189,6 +195,7 @@ def stars(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1 << 17
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     place = start[owner] + inside
     value = values[place]
+    stands, which = (place, None) if label is None else np.unique(label[place], return_inverse=True)
     lane = first[owner] * 64 + inside
     lanes, valid = np.zeros(first[-1] * 64, _U), np.zeros(first[-1] * 64, bool)
     lanes[lane], valid[lane] = value, True
@@ -215,14 +222,17 @@ def stars(keys: np.ndarray, values: np.ndarray, radius: int, most: int = 1 << 17
         if more is not None:
             far = sum((np.bitwise_count(w[place[x]] ^ w[place[y]]) for w in more), np.bitwise_count(value[x] ^ value[y]).astype(np.int16))
             x, y = x[far <= total], y[far <= total]
+        if which is not None:
+            x, y = which[x], which[y]
+            x, y = x[x != y], y[x != y]
         a, b = np.concatenate((a, x)), np.concatenate((b, y))
         if len(a) > 1 << 20:  # keep only a spanning star of what is known
-            root = _roots(len(value), a, b)
+            root = _roots(len(stands), a, b)
             a = np.flatnonzero(root != np.arange(len(root)))
             b = root[a]
-    root = _roots(len(value), a, b)
+    root = _roots(len(stands), a, b)
     member = np.flatnonzero(root != np.arange(len(root)))
-    return place[member], place[root[member]]
+    return stands[member], stands[root[member]]
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -307,31 +317,31 @@ def drawn_bits(width: int, count: int) -> np.ndarray:
     return np.concatenate([rng.permutation(64 * WIDE)[: per * width].reshape(per, width) for _ in range(-(-count // per))])[:count]
 
 
-def _bands(width: int, count: int, more: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, words) for each of count tables; sets of FEW shingles or fewer are in more tables."""
+def _bands(width: int, least: int, count: int, more: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, label, words) for the tables from least to count; sets of FEW shingles or fewer are in more tables."""
     drawn = drawn_bits(width, more)
     for batch in batches:
-        node, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        fp = batch.column(2).flatten().to_numpy().reshape(-1, WIDE)
+        node, label, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        fp = batch.column(3).flatten().to_numpy().reshape(-1, WIDE)
         bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
         for here, to in ((np.flatnonzero(size > FEW), count), (np.flatnonzero(size <= FEW), more)):
             if not len(here):
                 continue
-            keys = bits[here][:, drawn[:to]].astype(np.int64) @ (1 << np.arange(width)) + (np.arange(to) << width)
-            again = np.repeat(here, to)
-            columns = [keys.ravel(), node[again], *(fp[again, k] for k in range(CARRIED))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", *(f"f{k}" for k in range(CARRIED))])
+            keys = bits[here][:, drawn[least:to]].astype(np.int64) @ (1 << np.arange(width)) + (np.arange(least, to) << width)
+            again = np.repeat(here, to - least)
+            columns = [keys.ravel(), node[again], label[again], *(fp[again, k] for k in range(CARRIED))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "label", *(f"f{k}" for k in range(CARRIED))])
 
 
 def _link_near(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, node, *fp in _whole_runs(batches):
+    for key, _, label, *fp in _whole_runs(batches):
         fp = [w.view(_U) for w in fp]
-        a, b = stars(key, fp[0], NEAR_WORD, 1 << 15, fp[1:], total)
-        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        a, b = stars(key, fp[0], NEAR_WORD, 1 << 15, fp[1:], total, label)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _joined(keyed: DataFrame, total: int) -> DataFrame:
-    """Spanning links (a, b) of nodes of one key with close fingerprints; a star's hub is its least node, so buckets agree on it."""
+    """Spanning links (a, b) between labels with nodes of one key and close fingerprints; a star's hub is its least label, so buckets agree on it."""
     join = lambda df: df.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _link_near(total, it), "a long, b long")
     return reduce(DataFrame.union, [join(part) for part in _cut(keyed, "node")])
 
@@ -343,12 +353,20 @@ def near_links(nodes: DataFrame) -> DataFrame:
     """
     width = bucket_bits(nodes.count())
     count, more = tables(width, DIFFER), tables(width, DIFFER_FEW)
-    schema = ", ".join(f"{c} long" for c in ("key", "node", *(f"f{k}" for k in range(CARRIED))))
-    keyed = nodes.select("node", "size", "fp").mapInArrow(lambda it: _bands(width, count, more, it), schema)
-    close = components(_joined(keyed, NEAR))
+    schema = ", ".join(f"{c} long" for c in ("key", "node", "label", *(f"f{k}" for k in range(CARRIED))))
+
+    def met(labelled: DataFrame, least: int, count: int, more: int) -> DataFrame:
+        """(node, root) of the labels that meet in the tables from least on."""
+        rows = labelled.select("node", "label", "size", "fp").mapInArrow(lambda it: _bands(width, least, count, more, it), schema)
+        return components(_joined(rows, NEAR))
+
+    soon = met(nodes.withColumn("label", F.col("node")), 0, FIRST, FIRST)
+    labelled = nodes.join(soon, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "fp")
+    late = met(labelled, FIRST, count, more).select(F.col("node").alias("label"), "root")
+    close = labelled.join(late, "label", "left").select("node", F.coalesce("root", "label").alias("root")).where("node != root").checkpoint()
     # few nodes are left: within their components all words are compared
     own = close.union(close.select("root", "root").distinct()).join(nodes.select("node", "fp"), "node")
-    return _joined(own.select(F.col("root").alias("key"), "node", *(F.col("fp")[k].alias(f"f{k}") for k in range(WIDE))), NEAR_WIDE)
+    return _joined(own.select(F.col("root").alias("key"), "node", F.col("node").alias("label"), *(F.col("fp")[k].alias(f"f{k}") for k in range(WIDE))), NEAR_WIDE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

@@ -7,12 +7,13 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from test_operators import words_of
 
-from ruletide.llm import jaccard, simhash
+from ruletide.llm import graph, jaccard, simhash
 
 
 def brute_set(text):
@@ -145,3 +146,44 @@ def test_wide_fingerprints_and_tables():
     for width in (9, 12):
         drawn = simhash.drawn_bits(width, simhash.tables(width, simhash.DIFFER))
         assert all(len(set(t)) == width for t in drawn.tolist()) and drawn.max() < 512
+
+
+def brute_close(fp):
+    """The least place reachable over pairs that meet in a table and are close, then over those in one such group that are close in all words."""
+    n, width = len(fp), simhash.bucket_bits(len(fp))
+    bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+    met = np.zeros((n, n), bool)
+    for drawn in simhash.drawn_bits(width, simhash.tables(width, simhash.DIFFER_FEW))[: simhash.tables(width, simhash.DIFFER)]:
+        key = bits[:, drawn].astype(np.int64) @ (1 << np.arange(width))
+        met |= key[:, None] == key
+    far = np.stack([np.bitwise_count(fp[:, None, k] ^ fp[:, k]) for k in range(simhash.WIDE)]).astype(int)
+    word = far[0] <= simhash.NEAR_WORD
+    group = simhash._roots(n, *np.nonzero(met & word & (far[: simhash.CARRIED].sum(axis=0) <= simhash.NEAR)))
+    return simhash._roots(n, *np.nonzero((group[:, None] == group) & word & (far.sum(axis=0) <= simhash.NEAR_WIDE)))
+
+
+def test_links_of_a_crowd_do_not_grow_with_the_tables(spark, monkeypatch):
+    """A group of near copies meets in most tables; a member gives a link or two for each of the first tables, none for each other."""
+    texts = [*crowd(random.Random(8), 700), *crowd(random.Random(9), 300, 60)]
+    h, edge = jaccard.shingle_sets(pa.array(sorted(set(texts))))
+    fp, n = simhash.wide_fingerprints(h, edge), len(edge) - 1
+    assert min(np.diff(edge)) > simhash.FEW
+    handed, real = [], graph.components
+    monkeypatch.setattr(simhash, "components", lambda links: handed.append(links.count()) or real(links))
+    nodes = spark.createDataFrame([(i, int(edge[i + 1] - edge[i]), fp[i].view(np.int64).tolist()) for i in range(n)], "node long, size int, fp array<long>").repartition(3)
+    found = simhash.near_links(nodes).collect()
+    label = simhash._roots(n, np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+    assert label.tolist() == brute_close(fp).tolist() and n // 2 < len(set(np.flatnonzero(label != np.arange(n))))
+    assert sum(handed) <= (simhash.FIRST + 2) * n
+
+
+def test_a_star_step_is_computed_once(spark, monkeypatch):
+    star = graph._star
+
+    def step(edges, largest):
+        assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()  # a written table, not a step to compute again
+        return star(edges, largest)
+
+    monkeypatch.setattr(graph, "_star", step)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 31), (31, 50)], "a long, b long")
+    assert {r["node"]: r["root"] for r in graph.components(links).collect()} == {**{i: 0 for i in range(1, 21)}, 40: 31, 50: 31}
