@@ -12,7 +12,11 @@ import pytest
 
 from ruletide.__main__ import main
 from ruletide.engine import Engine
+from ruletide.loop import run as runs
+from ruletide.loop import split
 from ruletide.loop.config import frictionless
+from ruletide.loop.executor import SimExecutor
+from ruletide.loop.market import Market
 from ruletide.loop.run import Point, run
 from ruletide.observe.explain import coverage, explain, peeks, query
 from ruletide.plans.compiler import CompileError
@@ -147,6 +151,72 @@ def test_runs_of_a_grid_are_groups(spark, facts):
     assert alone == r.table("nav").where("run_id = 'p1'").orderBy("seq").collect()
 
 
+def _close(a, b):
+    """Equal but for the order in which an account's sums were made."""
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(_close(a[k], b[k]) for k in a)
+    return a == pytest.approx(b, rel=1e-12, abs=1e-9) if isinstance(a, float) else a == b
+
+
+@pytest.mark.parametrize("text", [CROSS, TARGETS, TRAIL])
+def test_parts_of_a_run_make_up_the_run(spark, facts, text, monkeypatch):
+    cfg = frictionless(participation_cap=0.2, impact_coef=0.1, slippage_vol_mult=0.1, lot="fractional")
+    points = [Point("a", {}, cfg), Point("b", {}, frictionless(initial_cash=5e5))]
+    whole = run(spark, text, facts, points)
+    monkeypatch.setattr(runs, "ROWS_A_PART", 60)
+    parts = run(spark, text, facts, points)
+    assert isinstance(parts, runs.PartedResult) and not isinstance(whole, runs.PartedResult)
+    assert parts.parts.where("kind = 'final'").count() > len(points)
+    for kind in ("decision", "fill", "dropped", "action"):
+        rows = [sorted(tuple(r.asDict().items()) for r in x.table(kind).drop("seq").collect()) for x in (whole, parts)]
+        assert rows[0] == rows[1] and (rows[0] or kind in ("dropped", "action"))
+    navs = [[r.asDict() for r in x.table("nav").orderBy("run_id", "seq").drop("seq").collect()] for x in (whole, parts)]
+    assert len(navs[0]) == len(navs[1]) == 120 and all(map(_close, *navs))
+    for run_id in ("a", "b"):
+        a, b = (json.loads(x.table("final").where(f"run_id = '{run_id}'").first()["summary"]) for x in (whole, parts))
+        assert _close(a, b)
+    order = [(r["kind"], r["t"]) for r in parts.tagged.where("run_id = 'a'").orderBy("seq").collect() if r["kind"] in ("decision", "nav", "final")]
+    assert order == [(r["kind"], r["t"]) for r in whole.tagged.where("run_id = 'a'").orderBy("seq").collect() if r["kind"] in ("decision", "nav", "final")]
+
+
+def test_a_halt_ends_all_parts(spark, facts, monkeypatch):
+    text = ENV + "strategy s { env e resolution @1d mode delta decide(T, buy(A, 1 shares)) :- universe(A, T). decide(T, buy(A, 2 shares)) :- universe(A, T), close(A, T, P), P > 90 USD/share. }"
+    whole = events(run(spark, text, facts, [Point("run", {}, frictionless())]))
+    monkeypatch.setattr(runs, "ROWS_A_PART", 60)
+    assert whole == events(run(spark, text, facts, [Point("run", {}, frictionless())])) and whole[-2][0] == "halt"
+
+
+def test_what_ties_instruments_together():
+    one = lambda body, more="": split.rules_apart(link(ENV + library("features", "e") + f"strategy s {{ env e uses features resolution @1d mode delta {more} {body} }}"))
+    assert one("decide(T, buy(A, 1 shares)) :- universe(A, T).") and one("decide(T, sell(A, Q)) :- held(A, T, Q), bought_within(A, T, 3d).")
+    assert not one("decide(T, buy(A, 1 shares)) :- universe(A, T), cash(T, C), C > 5 USD.")
+    assert not one("decide(T, buy(A, 1 shares)) :- universe(A, T), held(B, T, _), close(B, T, P), P > 5 USD/share.")
+    assert not one("decide(T, buy(A, 1 shares)) :- universe(A, T), n(T, N), N < 3.", "rel n(@T: Timestamp, -N: Count) n(T, N) :- bar(T), N = count(A) over (held(A, T, _)).")
+    assert not one("decide(T, buy(A, 1 shares)) :- N = count(A) over (universe(A, T), flat(A, T)), universe(A, T), N > 2.")
+    assert split.account_apart(frictionless()) and not any(split.account_apart(frictionless(**x)) for x in ({"compounding": True}, {"margin_rate": 0.1}, {"cash_rate": 0.1}, {"on_leverage": "reject"}, {"on_margin_call": "liquidate"}, {"on_ruin": "halt"}, {"on_oversize": "halt"}))
+    assert split.candidates(link(CROSS)) == {"up"} and split.candidates(link(TARGETS)) == {"pick"}
+
+
+def test_a_run_reads_the_market_of_what_it_may_trade(spark, facts):
+    """One account, one instrument in the signal: the others' prices are no part of the run's input."""
+    env = ENV.replace(" }", " signal(-A: Equity, @T: Timestamp) @1d complete }")
+    text = env + "strategy s { env e resolution @1d mode delta decide(T, buy(A, 1 shares)) :- signal(A, T), close(A, T, P), P > 0 USD/share. }"
+    given = facts | {"signal": facts["universe"].where("A = 'S001'")}
+    program = link(text)
+    pieces, _ = runs.run_input(spark, program, given, Point("run"), runs.choose(program), ("signal",), True)
+    assert {p.rel: p.df.count() for p in pieces if p.rel[:2] in ("m:", "r:")} == {"r:signal:[null, null]": 60, "r:close:[null, null, null]": 60, "m:price": 60, "m:volume": 60}
+    assert run(spark, text, given, [Point("run", {}, frictionless(on_leverage="reject"))]).table("fill").count() == 59
+
+
+def test_history_is_kept_only_of_what_is_read(spark):
+    x = SimExecutor(frictionless(), Market(86_400), set())
+    x.open_bar(0)
+    x.take(0, [])
+    x.fill(86_400)
+    x.open_bar(86_400)
+    assert not (x.position_at or x.cash_at or x.nav_at or x.fill_at) and len(x.events) == 2
+
+
 def test_halts_conflicts_and_windows_of_bars(spark, facts, tmp_path):
     both = ENV + "strategy s { env e resolution @1d mode delta decide(T, buy(A, 1 shares)) :- universe(A, T). decide(T, buy(A, 2 shares)) :- universe(A, T). }"
     assert "conflicts with" in run(spark, both, facts).table("halt").first()["message"]
