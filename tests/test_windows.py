@@ -40,3 +40,23 @@ def test_running_sums_equal_frames(spark, facts, window):
         assert got["exact"].keys() == got["running"].keys() and len(got["exact"]) > 100
         for at, want in got["exact"].items():
             assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6) for a, b in zip(want, got["running"][at], strict=True)), (at, want, got["running"][at])
+
+
+def test_running_sums_over_months_before_a_bar(spark, facts):
+    """Frames of the last days of March all begin on the last of February, whose value none of them may lose."""
+    e = Engine(spark, ENV + RULE.format(w="prior_window(T, 1mo, min 1)"), facts, sums="running")
+    values = {(r["A"], r["T"]): r["X"] for r in facts["x"].collect()}
+    got = {(r["A"], r["T"]): (r["M"], r["N"]) for r in e.relation("r").collect()}
+    assert len(got) > 300
+    for (a, t), (m, n) in got.items():
+        y, mo = divmod(t.year * 12 + t.month - 2, 12)
+        first = min(dt.date(y, mo + 1, 1) + dt.timedelta(days=t.day - 1), dt.date(y + mo // 11, (mo + 1) % 12 + 1, 1) - dt.timedelta(days=1))
+        frame = [x for (b, u), x in values.items() if b == a and first <= u < t]
+        assert n == len(frame) and math.isclose(m, sum(frame) / n, rel_tol=1e-6, abs_tol=1e-6), (a, t)
+
+
+@pytest.mark.parametrize("window", ["window(T, 12d, min 2)", "prior_window(T, 9d, min 1)", "rows(T, 7, min 3)"])
+def test_running_sums_neither_copy_rows_nor_join_back(spark, facts, window):
+    plan = {how: Engine(spark, ENV + RULE.format(w=window), facts, sums=how).relation("d")._jdf.queryExecution().optimizedPlan().toString() for how in ("exact", "running")}
+    assert "Generate" not in plan["running"] and "Window" in plan["running"]
+    assert all(plan["running"].count(x) <= plan["exact"].count(x) for x in ("Join", "Repartition", "Aggregate"))
