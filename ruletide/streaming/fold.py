@@ -31,12 +31,13 @@ from ruletide.loop.executor import RiskHalt, SimExecutor
 from ruletide.loop.kernel import Kernel
 from ruletide.loop.market import DAY, Market
 from ruletide.loop.run import choose
+from ruletide.loop.split import account_apart, entities, halts_never, rules_apart
 from ruletide.operators.temporal import bucket_range
 from ruletide.plans.program import Program, link
 from ruletide.study.study import fingerprint
 
 LOG = "run_id string, rel string, t long, avail long, payload string"
-END = "$end"
+END, BAR = "$end", "$bar"
 PRUNE_EVERY = 32  # bars
 
 
@@ -139,6 +140,11 @@ class Fold:
         self.now = avail if self.now is None else max(self.now, avail)
 
     def store(self, rel: str, t: int, payload: str) -> None:
+        if rel == BAR:  # a bar of the run, whatever this part of it holds there
+            bars = self.kernel.domains[self.res]
+            if t not in bars[-3:] and t not in bars:
+                insort(bars, t)
+            return
         sig = self.program.relations[rel].sig
         row = json.loads(payload)
         tup = tuple(row.get(f"c{i}") for i in range(len(sig.args)))
@@ -272,6 +278,27 @@ def fold(program: Program | str, log: list[tuple], config: ExecConfig | None = N
     return f, snaps
 
 
+def parts_apart(program: Program, config: ExecConfig) -> bool:
+    """Whether a log can be dealt by instrument: neither rules nor account tie two, and all rules see the bars of decisions only."""
+    rels = [program.relations[n] for n in program.reachable("decide")]
+    facts = [r for r in program.relations.values() if r.kind == "primitive"]
+    return account_apart(config) and halts_never(program, {}) and rules_apart(program, everything=True) and all(r.kind == "primitive" or r.sig.res == program.goal.res for r in rels) and all(len(entities(r)) == 1 for r in facts)
+
+
+def deal(log: DataFrame, program: Program, parts: int) -> DataFrame:
+    """The log with every run cut by instrument into runs `run/part`. All parts get the run's bars and the end of its data, so
+    that each closes the same bars as the run would and no later."""
+    res, every = program.goal.res, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    at = F.coalesce(*(F.when(F.col("rel") == n, F.get_json_object("payload", f"$.c{entities(r)[0]}")) for n, r in program.relations.items() if r.kind == "primitive"))
+    length = RESOLUTIONS[res]
+    bar = (F.floor(F.col("t") / DAY) * DAY if res == "1d" else F.ceil(F.col("t") / length) * length).cast("long")
+    own = log.where(F.col("rel") != END)
+    bars = own.groupBy("run_id", bar.alias("t")).agg(F.min("avail").alias("avail")).select("run_id", F.lit(BAR).alias("rel"), "t", "avail", F.lit("{}").alias("payload"))
+    to_all = log.where(F.col("rel") == END).union(bars).select("*", every.alias("__p"))
+    both = own.withColumn("__p", F.pmod(F.hash(at), F.lit(parts))).union(to_all)
+    return both.withColumn("run_id", F.concat_ws("/", "run_id", F.col("__p").cast("string"))).drop("__p")
+
+
 def stream(events: DataFrame, text: str, config: ExecConfig | None = None, params: dict | None = None, goal: str | None = None, idle: int | None = None, prune: bool = True) -> DataFrame:
     """A streaming DataFrame of run events from a streaming event log (LOG); an event named $end closes the data.
 

@@ -143,6 +143,45 @@ def test_stream_equals_fold(spark, facts, tmp_path):
     assert got == sorted(key(*e) for e in want.executor.events)
 
 
+HOURS = """environment m { tick(+A: Equity, @T: Timestamp, -P: Price<USD>) @1m } strategy s { env m resolution @1h mode delta
+  rel up(-A: Equity, @T: Timestamp, -N: Count) up(A, T, N) :- resample(tick(A, U, P) to @1h as T, min 1, N = count(U)).
+  decide(T, buy(A, 1 shares)) :- up(A, T, N), N >= 2. }"""
+
+
+def test_a_log_dealt_by_instrument_gives_the_same_events(spark):
+    rng = random.Random(3)
+    rows = [("run", "tick", t * 60, t * 60, json.dumps({"c0": a, "c1": t * 60, "c2": 10.0 + t % 7})) for a in "ABCDE" for t in rng.sample(range(1, 3000), 60)]
+    program, cfg = link(HOURS), frictionless()
+    assert fold.parts_apart(program, cfg) and not fold.parts_apart(program, frictionless(on_leverage="reject")) and not fold.parts_apart(link(CROSS), cfg)
+    log = spark.createDataFrame(rows, fold.LOG)
+    end = spark.createDataFrame([("run", fold.END, 3000 * 60, 3000 * 60, "{}")], fold.LOG)
+    want, _ = fold.fold(program, [r[1:] for r in rows], cfg)
+    got, runs_seen = [], {}
+    for r in fold.deal(log.union(end), program, 3).collect():
+        runs_seen.setdefault(r["run_id"], []).append(tuple(r)[1:])
+    assert len(runs_seen) == 3
+    for part in runs_seen.values():
+        assert sum(r[0] == fold.END for r in part) == 1
+        f, _ = fold.fold(program, [r for r in part if r[0] != fold.END], cfg)
+        got += f.executor.events
+        assert [t for k, t, _ in f.executor.events if k == "nav"] == [t for k, t, _ in want.executor.events if k == "nav"]
+    key = lambda events: sorted((k, t, json.dumps(x, sort_keys=True)) for k, t, x in events if k != "nav")
+    assert key(got) == key(want.executor.events) and len(got) > 200
+
+
+def test_a_bar_is_resampled_from_its_own_instants(monkeypatch):
+    f = fold.Fold(link(HOURS), frictionless())
+    seen = []
+    plain = f.kernel.tuples
+    monkeypatch.setattr(f.kernel, "tuples", lambda name, pattern: seen.append(pattern) or plain(name, pattern))
+    for h in range(200):
+        for m in (1, 2):
+            t = h * 3600 + m * 60
+            f.feed("tick", t, t, json.dumps({"c0": "X", "c1": t, "c2": 5.0}))
+    f.finish()
+    assert sum(k == "decision" for k, *_ in f.executor.events) == 200 and len(seen) < 1000  # not all earlier ones, which are 40,000
+
+
 def test_runs_of_a_grid_are_groups(spark, facts):
     points = [Point(f"p{i}", p, frictionless()) for i, p in enumerate(grid(dict([parse_axis("k=5d,10d,20d")])))]
     r = run(spark, CROSS, facts, points)
