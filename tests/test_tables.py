@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from ruletide import session
 from ruletide.loop.config import frictionless
 from ruletide.loop.run import Point, run, write_ledger
 from ruletide.plans.compiler import CompileError
@@ -60,3 +61,19 @@ def test_unreadable_exceptions_are_an_error(spark, tmp_path):
     (tmp_path / "exceptions.parquet" / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
         bundle.reviewed(spark, str(tmp_path))
+
+
+def test_tasks_follow_the_size_of_the_tables(spark, tmp_path, monkeypatch):
+    """More data, more tasks of the same size; small data and other queries leave the session as it was."""
+    spark.range(20_000).write.parquet(str(tmp_path / "x"))
+    own = [spark.conf.get(k, None) for k in (session._INITIAL, session._ADVISED)]
+    session.fit(spark, [str(tmp_path / "x")])
+    assert [spark.conf.get(k, None) for k in (session._INITIAL, session._ADVISED)] == own
+    monkeypatch.setattr(session, "INPUT_A_PARTITION", 1_000)
+    session.fit(spark, [str(tmp_path / "x")])
+    once = int(spark.conf.get(session._INITIAL))
+    assert once > int(spark.conf.get("spark.sql.shuffle.partitions")) and int(spark.conf.get(session._ADVISED)) == session.SHUFFLED_A_TASK
+    session.fit(spark, [str(tmp_path / "x")] * 3)
+    assert 3 * once - 3 <= int(spark.conf.get(session._INITIAL)) <= 3 * once
+    session.fit(spark, [])
+    assert [spark.conf.get(k, None) for k in (session._INITIAL, session._ADVISED)] == own
