@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruletide.session import dealt
+
 
 def ids_at(rows: DataFrame, history: DataFrame, symbol: str, time: str) -> DataFrame:
     """rows with the id that carried their symbol at their time (history: id, symbol, from, to exclusive); others are left out."""
@@ -49,7 +51,8 @@ class DailyExport:
         for name, table, cols in (("member", self.membership, (("index", "Idx"),)), ("classification", self.classification, (("scheme", "Scheme"), ("code", "Code")))):
             if table is not None:
                 spans = table.select("symbol", *(F.col(f"`{c}`").alias(v) for c, v in cols), F.to_date("from").alias("lo"), F.to_date("to").alias("hi"))
-                daily = spans.join(days, (F.col("T") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("T") <= F.col("hi"))))
+                # a few spans become many days: they are dealt over tasks first, however small their table is
+                daily = dealt(spans, "symbol").join(days, (F.col("T") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("T") <= F.col("hi"))))
                 out[name] = ids_at(daily, self.symbols, "symbol", "T").select("A", "T", *(v for _, v in cols)).distinct()
         universe = p.select("A", "T").distinct()
         out["universe"] = universe.join(out["delisted"].select("A", "T"), ["A", "T"], "left_anti") if gone is not None else universe

@@ -10,7 +10,7 @@ from ruletide.loop.run import Point, run, write_ledger
 from ruletide.plans.compiler import CompileError
 from ruletide.plans.program import link
 from ruletide.sources import bundle, tables
-from ruletide.sources.ingest import Synthetic
+from ruletide.sources.ingest import DailyExport, Synthetic
 from ruletide.study.study import append, read_log
 
 TEXT = """environment e { close(+A: Equity, @T: Timestamp, -P: Price<USD>) @1d volume(+A: Equity, @T: Timestamp, -V: Quantity<Shares>) @1d universe(-A: Equity, @T: Timestamp) @1d complete }
@@ -77,3 +77,13 @@ def test_tasks_follow_the_size_of_the_tables(spark, tmp_path, monkeypatch):
     assert 3 * once - 3 <= int(spark.conf.get(session._INITIAL)) <= 3 * once
     session.fit(spark, [])
     assert [spark.conf.get(k, None) for k in (session._INITIAL, session._ADVISED)] == own
+
+
+def test_days_of_a_membership_are_made_in_many_tasks(spark):
+    """Ten spans in one small partition: their days must not be made, and told apart, in one task."""
+    names = spark.createDataFrame([(f"S{i}", str(i)) for i in range(10)], "symbol string, id string").coalesce(1)
+    prices = names.selectExpr("symbol", "explode(sequence(DATE '2024-01-01', DATE '2024-01-20')) AS date", *(f"1D AS {c}" for c in ("open", "high", "low", "close", "volume")))
+    spans = names.selectExpr("symbol", "'X' AS index", "DATE '2024-01-05' AS `from`", "DATE '2024-01-08' AS `to`")
+    made = DailyExport(prices, names.selectExpr("id", "symbol", "DATE '2000-01-01' AS `from`", "CAST(NULL AS DATE) AS `to`"), membership=spans).relations()["member"]
+    assert "RepartitionByExpression" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 40 and {r["T"].day for r in made.collect()} == {5, 6, 7, 8}
